@@ -57,13 +57,40 @@ def safe_ratio(a: str | Column, b: str | Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def cents(c: str | Column) -> Column:
+    """An amount with at most 2 decimals as exact integer cents (bigint).
+    The multiplication stays within 18 digits, so Spark keeps it on longs."""
+    return (col(c) * dec("100")).cast("long")
+
+
+def sum_cents(cents_expr: Column) -> Column:
+    """Sum of integer cents, back to an exact decimal(23,2).
+
+    Summing longs is about twice as fast as summing decimal(12,2) (whose
+    buffer is wider than 18 digits and falls back to BigDecimal per row), and
+    is still exact; a long holds 9.2e16 rupees of cents per group, and ANSI
+    mode raises rather than wraps if a group ever exceeded that."""
+    return F.sum(cents_expr).cast("decimal(20,0)") * dec("0.01")
+
+
+def money_sum(c: str | Column) -> Column:
+    """Exact sum of an amount column (scale <= 2)."""
+    return sum_cents(cents(c))
+
+
 def exact_mean(c: str | Column) -> Column:
-    """Mean of an exact column: exact sum, then one division.
+    """Mean of an exact amount: exact sum, then one division.
 
     ``avg`` on decimals rounds to a fixed scale and ``avg`` on doubles depends
     on summation order; this does neither.
     """
     c = col(c)
+    return F.when(F.count(c) > 0, money_sum(c).cast("double") / F.count(c))
+
+
+def exact_mean_int(c: str | Column) -> Column:
+    """Mean of an integer column: exact long sum, then one division."""
+    c = col(c)
     return F.when(F.count(c) > 0, F.sum(c).cast("double") / F.count(c))
 
 

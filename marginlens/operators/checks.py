@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import CRORE, as_double, round_half_up
+from ..functions.measures import CRORE, as_double, money_sum, round_half_up
 from ..sources.schemas import PRIMARY_KEYS
 from ..sources.tables import Tables
 
@@ -21,7 +21,7 @@ def table_counts(t: Tables) -> DataFrame:
 
 def channel_revenue_cr(t: Tables) -> DataFrame:
     """Q23: revenue in crore, rounded to 2 places, by channel."""
-    g = t.fact_orders.groupBy("channel").agg(F.sum("gross_revenue").alias("_rev"))
+    g = t.fact_orders.groupBy("channel").agg(money_sum("gross_revenue").alias("_rev"))
     return g.select("channel", round_half_up(as_double("_rev") / CRORE, 2).alias("revenue_cr")).orderBy(
         F.col("revenue_cr").desc_nulls_last(), F.col("channel").asc_nulls_last()
     )

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.measures import money_sum
 from ..sources.tables import Tables
 
 
@@ -22,8 +23,8 @@ def returns_per_order(t: Tables) -> DataFrame:
     """Refunds and reverse logistics summed per order id (map-side partial
     aggregation; stays partitioned by ``order_id``)."""
     return t.fact_returns.groupBy("order_id").agg(
-        F.sum("refund_amount").alias("refund_amount"),
-        F.sum("reverse_logistics_cost").alias("reverse_logistics_cost"),
+        money_sum("refund_amount").alias("refund_amount"),
+        money_sum("reverse_logistics_cost").alias("reverse_logistics_cost"),
     )
 
 

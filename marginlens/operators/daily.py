@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from ..functions.measures import (
     LAKH,
     as_double,
+    cents,
     change_pct,
     contribution_margin,
     join_null_safe,
+    money_sum,
     round_half_up,
     safe_ratio,
+    sum_cents,
     zero_if_null,
 )
 from ..sources.tables import Tables
@@ -43,12 +46,12 @@ def _window_orders(t: Tables, d: Column, days: int = LOOKBACK_DAYS) -> DataFrame
 
 def daily_order_kpis(orders: DataFrame) -> DataFrame:
     return orders.groupBy("order_date").agg(
-        F.sum("gross_revenue").alias("revenue"),
+        money_sum("gross_revenue").alias("revenue"),
         F.countDistinct("order_id").alias("orders"),
-        F.sum("commission").alias("commission"),
-        F.sum("cogs").alias("cogs"),
-        F.sum("packaging_cost").alias("pack"),
-        F.sum("logistics_cost").alias("logistics"),
+        money_sum("commission").alias("commission"),
+        money_sum("cogs").alias("cogs"),
+        money_sum("packaging_cost").alias("pack"),
+        money_sum("logistics_cost").alias("logistics"),
     )
 
 
@@ -58,7 +61,7 @@ def daily_return_costs(t: Tables, orders: DataFrame) -> DataFrame:
     return (
         returns.join(orders.select("order_id", "order_date"), "order_id")
         .groupBy("order_date")
-        .agg(F.sum("refund_amount").alias("refunds"), F.sum("reverse_logistics_cost").alias("rev_log"))
+        .agg(money_sum("refund_amount").alias("refunds"), money_sum("reverse_logistics_cost").alias("rev_log"))
     )
 
 
@@ -118,8 +121,8 @@ def category_movers(t: Tables, target_date=None) -> DataFrame:
         _window_orders(t, d)
         .groupBy("category")
         .agg(
-            F.sum(F.when(F.col("order_date") == d, rev).otherwise(0)).alias("today_rev"),
-            F.sum(F.when(F.col("order_date") < d, rev).otherwise(0)).alias("_prior"),
+            sum_cents(F.when(F.col("order_date") == d, cents(rev)).otherwise(0)).alias("today_rev"),
+            sum_cents(F.when(F.col("order_date") < d, cents(rev)).otherwise(0)).alias("_prior"),
         )
     )
     cats = t.fact_orders.select("category").distinct()
@@ -192,9 +195,9 @@ def daily_kpi_snapshot(t: Tables, target_date=None) -> DataFrame:
     d = target_day(t, target_date)
     orders = _window_orders(t, d)
     k = orders.groupBy("order_date").agg(
-        F.sum("gross_revenue").alias("rev"),
+        money_sum("gross_revenue").alias("rev"),
         F.countDistinct("order_id").alias("orders"),
-        (F.sum("commission") + F.sum("cogs") + F.sum("packaging_cost") + F.sum("logistics_cost")).alias("costs"),
+        (money_sum("commission") + money_sum("cogs") + money_sum("packaging_cost") + money_sum("logistics_cost")).alias("costs"),
     )
     r = daily_return_costs(t, orders).select("order_date", (F.col("refunds") + F.col("rev_log")).alias("ret_cost"))
     j = k.join(r, "order_date", "left")

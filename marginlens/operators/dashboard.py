@@ -6,7 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import CRORE, LAKH, as_double, contribution_margin, round_half_up, safe_ratio
+from ..functions.measures import (
+    CRORE,
+    LAKH,
+    as_double,
+    cents,
+    contribution_margin,
+    money_sum,
+    round_half_up,
+    safe_ratio,
+    sum_cents,
+)
 from ..sources.tables import Tables
 from .common import returns_per_order
 
@@ -28,13 +38,13 @@ def kpi_summary(t: Tables) -> DataFrame:
     returns_totals = t.fact_returns.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.col("refund_amount") + F.col("reverse_logistics_cost")), F.lit(0)).alias("cost"),
+            F.coalesce(sum_cents(cents("refund_amount") + cents("reverse_logistics_cost")), F.lit(0)).alias("cost"),
         ).alias("totals")
     ).scalar()
     agg = t.fact_orders.agg(
-        F.sum("gross_revenue").alias("revenue"),
+        money_sum("gross_revenue").alias("revenue"),
         F.countDistinct("order_id").alias("orders"),
-        (F.sum("commission") + F.sum("cogs") + F.sum("packaging_cost") + F.sum("logistics_cost")).alias("costs"),
+        (money_sum("commission") + money_sum("cogs") + money_sum("packaging_cost") + money_sum("logistics_cost")).alias("costs"),
     )
     returns = returns_totals.getField("n")
     return_cost = returns_totals.getField("cost")
@@ -50,7 +60,7 @@ def monthly_revenue(t: Tables) -> DataFrame:
     """Q09: revenue in lakh and distinct orders per month, with a short label."""
     month = F.trunc("order_date", "month")
     g = t.fact_orders.groupBy(month.alias("month")).agg(
-        F.sum("gross_revenue").alias("_rev"), F.countDistinct("order_id").alias("orders")
+        money_sum("gross_revenue").alias("_rev"), F.countDistinct("order_id").alias("orders")
     )
     return g.select(
         "month",
@@ -63,7 +73,7 @@ def monthly_revenue(t: Tables) -> DataFrame:
 def channel_revenue(t: Tables) -> DataFrame:
     """Q10: revenue in lakh and commission as % of revenue, per channel."""
     g = t.fact_orders.groupBy("channel").agg(
-        F.sum("gross_revenue").alias("_rev"), F.sum("commission").alias("_comm")
+        money_sum("gross_revenue").alias("_rev"), money_sum("commission").alias("_comm")
     )
     return g.select(
         "channel",
@@ -92,13 +102,13 @@ def channel_cm_pct(t: Tables) -> DataFrame:
         "order_id", "channel", "gross_revenue", "commission", "cogs", "packaging_cost", "logistics_cost"
     ).join(returns_per_order(t), "order_id", "left")
     g = j.groupBy("channel").agg(
-        F.sum("gross_revenue").alias("rev"),
-        F.coalesce(F.sum("refund_amount"), F.lit(0)).alias("refunds"),
-        F.sum("commission").alias("comm"),
-        F.sum("cogs").alias("cogs"),
-        F.sum("packaging_cost").alias("pack"),
-        F.sum("logistics_cost").alias("log"),
-        F.coalesce(F.sum("reverse_logistics_cost"), F.lit(0)).alias("rev_log"),
+        money_sum("gross_revenue").alias("rev"),
+        F.coalesce(money_sum("refund_amount"), F.lit(0)).alias("refunds"),
+        money_sum("commission").alias("comm"),
+        money_sum("cogs").alias("cogs"),
+        money_sum("packaging_cost").alias("pack"),
+        money_sum("logistics_cost").alias("log"),
+        F.coalesce(money_sum("reverse_logistics_cost"), F.lit(0)).alias("rev_log"),
     )
     cm = contribution_margin("rev", "refunds", "comm", "cogs", "pack", "log", "rev_log")
     pct = round_half_up(safe_ratio(cm, "rev") * 100.0, 1)
@@ -133,7 +143,7 @@ def top_return_reasons(t: Tables, k: int = 5) -> DataFrame:
 
 def city_revenue(t: Tables) -> DataFrame:
     """Q14: revenue in crore per city."""
-    g = t.fact_orders.groupBy("city").agg(F.sum("gross_revenue").alias("_rev"))
+    g = t.fact_orders.groupBy("city").agg(money_sum("gross_revenue").alias("_rev"))
     return g.select("city", (as_double("_rev") / CRORE).alias("revenue_cr")).orderBy(
         F.col("revenue_cr").desc_nulls_last(), F.col("city").asc_nulls_last()
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import as_double, div0, exact_mean, gross_margin, join_null_safe, safe_ratio
+from ..functions.measures import as_double, div0, exact_mean, gross_margin, join_null_safe, money_sum, safe_ratio
 from ..sources.tables import Tables
 from .marts import daily_pnl, return_rate, sku_profitability
 
@@ -44,8 +44,8 @@ def channel_cm_per_spend(t: Tables) -> DataFrame:
         F.sum("gross_revenue").alias("gross_revenue"),
         F.sum("contribution_margin").alias("contribution_margin"),
     )
-    spend = t.fact_marketing_spend.groupBy("channel").agg(F.sum("marketing_spend").alias("marketing_spend"))
-    total = t.fact_orders.agg(F.sum("gross_revenue").alias("total")).scalar()
+    spend = t.fact_marketing_spend.groupBy("channel").agg(money_sum("marketing_spend").alias("marketing_spend"))
+    total = t.fact_orders.agg(money_sum("gross_revenue").alias("total")).scalar()
     j = pnl.join(spend, "channel", "left")
     return j.select(
         "channel",

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import (
+    cents,
     contribution_margin,
     div0,
     exact_mean,
+    exact_mean_int,
     gross_margin,
     join_null_safe,
+    money_sum,
+    sum_cents,
     zero_if_null,
 )
 from ..sources.tables import Tables
@@ -41,20 +45,20 @@ def order_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
     return t.fact_orders.groupBy(*keys).agg(
         F.countDistinct("order_id").alias("order_count"),
         F.sum("qty").alias("units_sold"),
-        F.sum(F.col("mrp") * F.col("qty")).alias("gross_mrp"),
-        F.sum("gross_revenue").alias("gross_revenue"),
-        F.sum("commission").alias("marketplace_commission"),
-        F.sum("cogs").alias("cogs"),
-        F.sum("packaging_cost").alias("packaging"),
-        F.sum("logistics_cost").alias("logistics"),
+        sum_cents(cents("mrp") * F.col("qty")).alias("gross_mrp"),
+        money_sum("gross_revenue").alias("gross_revenue"),
+        money_sum("commission").alias("marketplace_commission"),
+        money_sum("cogs").alias("cogs"),
+        money_sum("packaging_cost").alias("packaging"),
+        money_sum("logistics_cost").alias("logistics"),
     )
 
 
 def return_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
     """Refunds booked on the order's date and attributes (not the return's)."""
     return returns_with_orders(t, *keys).groupBy(*keys).agg(
-        F.sum("refund_amount").alias("refund_value"),
-        F.sum("reverse_logistics_cost").alias("reverse_logistics"),
+        money_sum("refund_amount").alias("refund_value"),
+        money_sum("reverse_logistics_cost").alias("reverse_logistics"),
         F.count(F.lit(1)).alias("returns_count"),
     )
 
@@ -103,9 +107,9 @@ def returns_analytics(t: Tables) -> DataFrame:
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("return_count"),
-            F.sum("refund_amount").alias("total_refund"),
-            F.sum("reverse_logistics_cost").alias("total_reverse_logistics"),
-            exact_mean(days).alias("avg_days_to_return"),
+            money_sum("refund_amount").alias("total_refund"),
+            money_sum("reverse_logistics_cost").alias("total_reverse_logistics"),
+            exact_mean_int(days).alias("avg_days_to_return"),
         )
     )
 
@@ -163,18 +167,18 @@ def price_parity(t: Tables) -> DataFrame:
 def sku_orders(t: Tables) -> DataFrame:
     return t.fact_orders.groupBy("sku_id", "category").agg(
         F.sum("qty").alias("units_sold"),
-        F.sum("gross_revenue").alias("gross_revenue"),
-        F.sum("commission").alias("commission"),
-        F.sum("cogs").alias("cogs"),
-        F.sum("packaging_cost").alias("packaging"),
-        F.sum("logistics_cost").alias("logistics"),
+        money_sum("gross_revenue").alias("gross_revenue"),
+        money_sum("commission").alias("commission"),
+        money_sum("cogs").alias("cogs"),
+        money_sum("packaging_cost").alias("packaging"),
+        money_sum("logistics_cost").alias("logistics"),
     )
 
 
 def sku_returns(t: Tables) -> DataFrame:
     return returns_with_orders(t, "sku_id").groupBy("sku_id").agg(
-        F.sum("refund_amount").alias("refunds"),
-        F.sum("reverse_logistics_cost").alias("rev_log"),
+        money_sum("refund_amount").alias("refunds"),
+        money_sum("reverse_logistics_cost").alias("rev_log"),
         F.count(F.lit(1)).alias("return_count"),
     )
 
@@ -215,7 +219,7 @@ def marketing_efficiency(t: Tables) -> DataFrame:
     Spend without sales is dropped; sales without spend get NULL spend and
     NULL ROMI; zero spend gives ROMI 0."""
     pnl = category_channel_pnl(t)
-    spend = t.fact_marketing_spend.groupBy("category", "channel").agg(F.sum("marketing_spend").alias("marketing_spend"))
+    spend = t.fact_marketing_spend.groupBy("category", "channel").agg(money_sum("marketing_spend").alias("marketing_spend"))
     j = pnl.join(spend, ["category", "channel"], "left")
     return j.select(
         "category",
@@ -244,14 +248,14 @@ def store_performance(t: Tables) -> DataFrame:
         .agg(
             F.countDistinct("order_id").alias("orders"),
             F.sum("qty").alias("units"),
-            F.sum("gross_revenue").alias("gross_revenue"),
+            money_sum("gross_revenue").alias("gross_revenue"),
         )
     )
     j = t.dim_store.select(*keys).join(per_store, "store_id", "left")
     g = j.groupBy(*keys).agg(
         zero_if_null(F.max("orders")).alias("orders"),
         F.sum("units").alias("units"),
-        F.sum("gross_revenue").alias("gross_revenue"),
+        money_sum("gross_revenue").alias("gross_revenue"),
     )
     return g.select(
         *keys,

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.measures import money_sum
 from ..sources.catalog import register_views
 from ..sources.tables import Tables
 from .common import month_start, returns_with_orders
@@ -52,7 +53,7 @@ def top_skus_month(t: Tables, month: str | date, k: int = 5) -> DataFrame:
     g = (
         t.fact_orders.where(_in_month(month))
         .groupBy("sku_id")
-        .agg(F.sum("gross_revenue").alias("gross_revenue"), F.sum("qty").alias("units_sold"))
+        .agg(money_sum("gross_revenue").alias("gross_revenue"), F.sum("qty").alias("units_sold"))
     )
     return g.orderBy(F.col("gross_revenue").desc_nulls_last(), F.col("sku_id").asc_nulls_last()).limit(k)
 

@@ -27,7 +27,6 @@ import tempfile
 import threading
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from . import testdata
@@ -58,6 +57,25 @@ def bucket_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _write_bucketed(
+    spark: SparkSession, df: DataFrame, path: str, table: str, sort_key: str, buckets: int, shuffle: bool = True
+) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``order_id`` and sorted by
+    ``sort_key`` inside each bucket; return it read back from the catalog.
+    ``shuffle`` first hash-partitions by the bucket key (one file per bucket);
+    skip it when ``df`` already comes from a table bucketed the same way."""
+    if shuffle:
+        df = df.repartition(buckets, BUCKET_KEY)
+    (
+        df.write.mode("overwrite")
+        .bucketBy(buckets, BUCKET_KEY)
+        .sortBy(sort_key)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def materialize(spark: SparkSession, tables: Tables, root: str, buckets: int | None = None) -> Tables:
     """Write the five tables under ``root`` and return them read back.
 
@@ -71,17 +89,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str, buckets: int | N
     for name, df in tables.items():
         path = f"{root}/{name}"
         if name in SORT_KEYS:
-            table = f"marginlens_{token}_{name}"
-            (
-                # One shuffle by the bucket key gives one file per bucket.
-                df.repartition(buckets, BUCKET_KEY)
-                .write.mode("overwrite")
-                .bucketBy(buckets, BUCKET_KEY)
-                .sortBy(SORT_KEYS[name])
-                .option("path", path)
-                .saveAsTable(table)
-            )
-            out[name] = spark.table(table)
+            out[name] = _write_bucketed(spark, df, path, f"marginlens_{token}_{name}", SORT_KEYS[name], buckets)
         else:
             df.write.mode("overwrite").parquet(path)
             out[name] = spark.read.parquet(path)
@@ -92,8 +100,11 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
     """Star schema over the driver's test tables at ``sf_dir``.
 
     With ``materialize_tables`` the mapping runs once per session and sf
-    directory: the order lines are computed once (kept on disk while both
-    facts are written), then all five tables are written and read back.
+    directory, with one shuffle of the fact rows: the order lines (every
+    fact_orders column plus the line attributes that decide returns) are
+    written once, bucketed by order_id; fact_orders is that table without
+    the helper columns, and fact_returns is derived from it bucket by bucket
+    (already partitioned, so no second shuffle) and written alongside.
     Without it the tables stay lazy views over the source parquet.
     """
     if not materialize_tables:
@@ -102,12 +113,23 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
     with _lock:
         if key in _loaded:
             return _loaded[key]
-        root = f"{storage_root(spark)}/marginlens/{os.path.basename(os.path.abspath(sf_dir))}-{uuid.uuid4().hex[:8]}"
-        lines = testdata.order_lines(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
-        try:
-            tables = materialize(spark, testdata.build_tables(spark, sf_dir, lines=lines), root)
-        finally:
-            lines.unpersist()
+        token = uuid.uuid4().hex[:10]
+        root = f"{storage_root(spark)}/marginlens/{os.path.basename(os.path.abspath(sf_dir))}-{token}"
+        buckets = bucket_count(spark)
+        lines = _write_bucketed(
+            spark, testdata.order_lines(spark, sf_dir), f"{root}/order_lines", f"marginlens_{token}_order_lines",
+            "order_date", buckets,
+        )
+        returns = _write_bucketed(
+            spark, testdata.returns_from_lines(lines), f"{root}/fact_returns", f"marginlens_{token}_fact_returns",
+            "return_date", buckets, shuffle=False,
+        )
+        lazy = testdata.build_tables(spark, sf_dir, lines=lines)
+        small = {}
+        for name in ("dim_sku", "dim_store", "fact_marketing_spend"):
+            getattr(lazy, name).write.mode("overwrite").parquet(f"{root}/{name}")
+            small[name] = spark.read.parquet(f"{root}/{name}")
+        tables = Tables(fact_orders=testdata.orders_from_lines(lines), fact_returns=returns, **small)
         _loaded[key] = tables
         return tables
 

@@ -94,10 +94,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     offline = F.col("l_partkey") % 50 == 0
     channel = F.when(offline, F.lit("OFFLINE")).otherwise(channel_of(F.col("l_orderkey")))
+    # Per-row arithmetic is kept within 18 digits (qty as NUMBER(4,0), the
+    # unit complement of the discount as decimal(5,4)), so Spark computes it
+    # on longs instead of BigDecimal.
     qty = F.col("l_quantity").cast("int")
+    qty_d = qty.cast("decimal(4,0)")
     discount = F.col("l_discount").cast("decimal(6,4)")
-    selling_price = (F.col("mrp") * (F.lit(1) - discount)).cast("decimal(10,2)")
-    gross_revenue = (selling_price * qty).cast("decimal(12,2)")
+    selling_price = (F.col("mrp") * (dec("1.0000") - discount)).cast("decimal(10,2)")
+    gross_revenue = (selling_price * qty_d).cast("decimal(12,2)")
     rate = dec("0.00")
     for name, r in COMMISSION_RATES:
         rate = F.when(channel == name, dec(r)).otherwise(rate)
@@ -121,8 +125,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         gross_revenue.alias("gross_revenue"),
         (gross_revenue * rate).cast("decimal(12,2)").alias("commission"),
         F.when(offline, F.lit(0)).otherwise(F.lit(60) + F.lit(5) * F.col("l_linenumber")).cast("decimal(10,2)").alias("logistics_cost"),
-        (F.col("cogs") * qty).cast("decimal(12,2)").alias("cogs"),
-        (F.col("packaging_cost") * qty).cast("decimal(10,2)").alias("packaging_cost"),
+        (F.col("cogs") * qty_d).cast("decimal(12,2)").alias("cogs"),
+        (F.col("packaging_cost") * qty_d).cast("decimal(10,2)").alias("packaging_cost"),
         F.col("l_returnflag").alias("_flag"),
         F.col("l_linenumber").alias("_line"),
         F.col("l_suppkey").alias("_supp"),
