@@ -63,6 +63,11 @@ def cents(c: str | Column) -> Column:
     return (col(c) * dec("100")).cast("long")
 
 
+def from_cents(c: str | Column) -> Column:
+    """Integer cents back to an exact decimal(23,2)."""
+    return col(c).cast("decimal(20,0)") * dec("0.01")
+
+
 def sum_cents(cents_expr: Column) -> Column:
     """Sum of integer cents, back to an exact decimal(23,2).
 
@@ -70,7 +75,7 @@ def sum_cents(cents_expr: Column) -> Column:
     buffer is wider than 18 digits and falls back to BigDecimal per row), and
     is still exact; a long holds 9.2e16 rupees of cents per group, and ANSI
     mode raises rather than wraps if a group ever exceeded that."""
-    return F.sum(cents_expr).cast("decimal(20,0)") * dec("0.01")
+    return from_cents(F.sum(cents_expr))
 
 
 def money_sum(c: str | Column) -> Column:

@@ -7,24 +7,24 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import money_sum
+from ..functions.measures import cents
 from ..sources.tables import Tables
 
 
-def returns_with_orders(t: Tables, *order_cols: str) -> DataFrame:
-    """Returns joined (inner, plain ``=``) to the order line they belong to,
-    carrying the listed order columns. Both facts are bucketed by
-    ``order_id`` once materialized, so this join does not shuffle."""
-    orders = t.fact_orders.select("order_id", *order_cols)
-    return t.fact_returns.join(orders, "order_id")
-
-
-def returns_per_order(t: Tables) -> DataFrame:
-    """Refunds and reverse logistics summed per order id (map-side partial
-    aggregation; stays partitioned by ``order_id``)."""
-    return t.fact_returns.groupBy("order_id").agg(
-        money_sum("refund_amount").alias("refund_amount"),
-        money_sum("reverse_logistics_cost").alias("reverse_logistics_cost"),
+def returns_per_order(t: Tables, *keys: str) -> DataFrame:
+    """Returns pre-aggregated per order id (and any extra return columns):
+    count, refund and reverse logistics in integer cents (``refund_c``,
+    ``rev_log_c``, ``n``).
+
+    Aggregating before the join keeps it linear: an order id repeated k times
+    in orders and m times in returns meets one row instead of m, yet every
+    sum and count over the joined pairs is the same (each order row carries
+    its order's totals). On the bucketed facts this aggregation runs inside
+    the scan's partitions, with no shuffle."""
+    return t.fact_returns.groupBy("order_id", *keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(cents("refund_amount")).alias("refund_c"),
+        F.sum(cents("reverse_logistics_cost")).alias("rev_log_c"),
     )
 
 

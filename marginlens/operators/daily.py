@@ -22,6 +22,7 @@ from ..functions.measures import (
     cents,
     change_pct,
     contribution_margin,
+    from_cents,
     join_null_safe,
     money_sum,
     round_half_up,
@@ -30,7 +31,7 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import date_param, max_order_date_col, returns_with_orders
+from .common import date_param, max_order_date_col, returns_per_order
 from .dashboard import top_reasons
 
 LOOKBACK_DAYS = 7
@@ -57,11 +58,11 @@ def daily_order_kpis(orders: DataFrame) -> DataFrame:
 
 def daily_return_costs(t: Tables, orders: DataFrame) -> DataFrame:
     """Refunds and reverse logistics per *order* date, for the given orders."""
-    returns = t.fact_returns.select("order_id", "refund_amount", "reverse_logistics_cost")
     return (
-        returns.join(orders.select("order_id", "order_date"), "order_id")
+        returns_per_order(t)
+        .join(orders.select("order_id", "order_date"), "order_id")
         .groupBy("order_date")
-        .agg(money_sum("refund_amount").alias("refunds"), money_sum("reverse_logistics_cost").alias("rev_log"))
+        .agg(from_cents(F.sum("refund_c")).alias("refunds"), from_cents(F.sum("rev_log_c")).alias("rev_log"))
     )
 
 

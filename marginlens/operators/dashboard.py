@@ -12,6 +12,7 @@ from ..functions.measures import (
     as_double,
     cents,
     contribution_margin,
+    from_cents,
     money_sum,
     round_half_up,
     safe_ratio,
@@ -103,12 +104,12 @@ def channel_cm_pct(t: Tables) -> DataFrame:
     ).join(returns_per_order(t), "order_id", "left")
     g = j.groupBy("channel").agg(
         money_sum("gross_revenue").alias("rev"),
-        F.coalesce(money_sum("refund_amount"), F.lit(0)).alias("refunds"),
+        F.coalesce(from_cents(F.sum("refund_c")), F.lit(0)).alias("refunds"),
         money_sum("commission").alias("comm"),
         money_sum("cogs").alias("cogs"),
         money_sum("packaging_cost").alias("pack"),
         money_sum("logistics_cost").alias("log"),
-        F.coalesce(money_sum("reverse_logistics_cost"), F.lit(0)).alias("rev_log"),
+        F.coalesce(from_cents(F.sum("rev_log_c")), F.lit(0)).alias("rev_log"),
     )
     cm = contribution_margin("rev", "refunds", "comm", "cogs", "pack", "log", "rev_log")
     pct = round_half_up(safe_ratio(cm, "rev") * 100.0, 1)

@@ -15,7 +15,7 @@ from ..functions.measures import (
     contribution_margin,
     div0,
     exact_mean,
-    exact_mean_int,
+    from_cents,
     gross_margin,
     join_null_safe,
     money_sum,
@@ -23,7 +23,7 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import returns_with_orders
+from .common import returns_per_order
 
 PNL_KEYS = ["order_date", "city", "channel", "category"]
 
@@ -56,10 +56,11 @@ def order_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
 
 def return_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
     """Refunds booked on the order's date and attributes (not the return's)."""
-    return returns_with_orders(t, *keys).groupBy(*keys).agg(
-        money_sum("refund_amount").alias("refund_value"),
-        money_sum("reverse_logistics_cost").alias("reverse_logistics"),
-        F.count(F.lit(1)).alias("returns_count"),
+    per_order = returns_per_order(t).join(t.fact_orders.select("order_id", *keys), "order_id")
+    return per_order.groupBy(*keys).agg(
+        from_cents(F.sum("refund_c")).alias("refund_value"),
+        from_cents(F.sum("rev_log_c")).alias("reverse_logistics"),
+        F.sum("n").alias("returns_count"),
     )
 
 
@@ -101,16 +102,25 @@ def returns_analytics(t: Tables) -> DataFrame:
     """Q02: category x channel x city x reason: count, refunds, reverse
     logistics, mean days from order to return."""
     keys = ["category", "channel", "city", "return_reason"]
-    days = F.datediff("return_date", "order_date")
-    return (
-        returns_with_orders(t, "category", "channel", "city", "order_date")
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("return_count"),
-            money_sum("refund_amount").alias("total_refund"),
-            money_sum("reverse_logistics_cost").alias("total_reverse_logistics"),
-            exact_mean_int(days).alias("avg_days_to_return"),
-        )
+    # Per (order, reason): counts, cents, and the sum of return day numbers,
+    # so the day gaps of all returns of an order add up exactly after the join:
+    # sum(return_day - order_day) = sum(return_day) - n_dated * order_day.
+    per_order = t.fact_returns.groupBy("order_id", "return_reason").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(cents("refund_amount")).alias("refund_c"),
+        F.sum(cents("reverse_logistics_cost")).alias("rev_log_c"),
+        F.sum(F.unix_date("return_date").cast("long")).alias("rd_sum"),
+        F.count("return_date").alias("rd_n"),
+    )
+    j = per_order.join(t.fact_orders.select("order_id", "category", "channel", "city", "order_date"), "order_id")
+    dated = F.col("order_date").isNotNull()
+    gap_sum = F.when(dated, F.col("rd_sum") - F.col("rd_n") * F.unix_date("order_date").cast("long"))
+    gap_n = F.when(dated, F.col("rd_n"))
+    return j.groupBy(*keys).agg(
+        F.sum("n").alias("return_count"),
+        from_cents(F.sum("refund_c")).alias("total_refund"),
+        from_cents(F.sum("rev_log_c")).alias("total_reverse_logistics"),
+        F.when(F.sum(gap_n) > 0, F.sum(gap_sum).cast("double") / F.sum(gap_n)).alias("avg_days_to_return"),
     )
 
 
@@ -176,10 +186,11 @@ def sku_orders(t: Tables) -> DataFrame:
 
 
 def sku_returns(t: Tables) -> DataFrame:
-    return returns_with_orders(t, "sku_id").groupBy("sku_id").agg(
-        money_sum("refund_amount").alias("refunds"),
-        money_sum("reverse_logistics_cost").alias("rev_log"),
-        F.count(F.lit(1)).alias("return_count"),
+    per_order = returns_per_order(t).join(t.fact_orders.select("order_id", "sku_id"), "order_id")
+    return per_order.groupBy("sku_id").agg(
+        from_cents(F.sum("refund_c")).alias("refunds"),
+        from_cents(F.sum("rev_log_c")).alias("rev_log"),
+        F.sum("n").alias("return_count"),
     )
 
 

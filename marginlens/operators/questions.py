@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.measures import money_sum
 from ..sources.catalog import register_views
 from ..sources.tables import Tables
-from .common import month_start, returns_with_orders
-from .dashboard import channel_revenue, top_reasons
+from .common import month_start, returns_per_order
+from .dashboard import channel_revenue
 from .marts import daily_pnl, return_rate
 
 
@@ -65,8 +65,11 @@ def lowest_commission_channel(t: Tables) -> DataFrame:
 
 def top_reasons_category(t: Tables, category: str, k: int = 3) -> DataFrame:
     """Q39: the k most frequent return reasons for one category, all channels."""
-    r = returns_with_orders(_restrict(t, F.col("category") == category), "category")
-    return top_reasons(r, k)
+    per_order = returns_per_order(t, "return_reason").join(
+        t.fact_orders.where(F.col("category") == category).select("order_id"), "order_id"
+    )
+    counts = per_order.groupBy("return_reason").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.col("n").desc(), F.col("return_reason").asc_nulls_last()).limit(k)
 
 
 def return_rate_pair(t: Tables, category: str, channel: str) -> DataFrame:
