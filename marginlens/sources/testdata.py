@@ -86,8 +86,12 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_head = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", F.to_date("o_orderdate").alias("order_date"), "c_nationkey"
     )
+    # Fact meets fact: a sort-merge join. Without table statistics Spark
+    # estimates a join's size as the product of its inputs, so the enriched
+    # orders would look huge and the pruned lineitem small enough to
+    # broadcast; the hint states what the join really is.
     lines = (
-        lineitem.join(order_head, lineitem.l_orderkey == order_head.o_orderkey)
+        lineitem.join(order_head.hint("merge"), lineitem.l_orderkey == order_head.o_orderkey)
         .join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
         .join(skus, lineitem.l_partkey == skus.p_partkey)
     )
