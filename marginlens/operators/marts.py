@@ -7,6 +7,8 @@ call them, so Catalyst sees (and prunes) one plan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,26 @@ SPREAD_CHANNELS = ("D2C_APP", "MYNTRA", "FLIPKART", "AJIO")
 SPREAD_EMPTY = 99999
 
 
-def order_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
-    return t.fact_orders.groupBy(*keys).agg(
+def pnl_groups(t: Tables) -> DataFrame:
+    """Order and return sums per order_date x city x channel x category, in
+    one pass over the order fact.
+
+    Each order row meets its order's pre-aggregated returns (at most one row
+    per order id, so a left join keeps one row per order row), and one
+    aggregation computes both sides. That is the same as aggregating the two
+    sides apart and joining them on the four keys: a return lands in its
+    order row's group, once per order row carrying that id, as in a join of
+    returns to orders. The join on the keys is a plain ``=``, so a group with a
+    NULL key gets no returns; ``attached`` keeps exactly that rule.
+
+    On the bucketed facts the join and the distinct count of order ids run
+    inside the scan's partitions; the one shuffle is of the partial
+    aggregates on the four keys.
+    """
+    keys = PNL_KEYS
+    j = t.fact_orders.join(returns_per_order(t), "order_id", "left")
+    attached = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return j.groupBy(*keys).agg(
         F.countDistinct("order_id").alias("order_count"),
         F.sum("qty").alias("units_sold"),
         sum_cents(cents("mrp") * F.col("qty")).alias("gross_mrp"),
@@ -51,29 +71,17 @@ def order_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
         money_sum("cogs").alias("cogs"),
         money_sum("packaging_cost").alias("packaging"),
         money_sum("logistics_cost").alias("logistics"),
-    )
-
-
-def return_pnl(t: Tables, keys: list[str] = PNL_KEYS) -> DataFrame:
-    """Refunds booked on the order's date and attributes (not the return's)."""
-    per_order = returns_per_order(t).join(t.fact_orders.select("order_id", *keys), "order_id")
-    return per_order.groupBy(*keys).agg(
-        from_cents(F.sum("refund_c")).alias("refund_value"),
-        from_cents(F.sum("rev_log_c")).alias("reverse_logistics"),
-        F.sum("n").alias("returns_count"),
+        from_cents(F.sum(F.when(attached, F.col("refund_c")))).alias("refund_value"),
+        from_cents(F.sum(F.when(attached, F.col("rev_log_c")))).alias("reverse_logistics"),
+        F.sum(F.when(attached, F.col("n"))).alias("returns_count"),
     )
 
 
 def daily_pnl(t: Tables) -> DataFrame:
-    """Q01: order_date x city x channel x category P&L waterfall.
-
-    The two sides are aggregated before they meet, so the join is between
-    two small grouped frames hash-partitioned on the same four keys. It is a
-    plain ``=`` join: a NULL key finds no returns, as in the reference.
-    """
-    op = order_pnl(t)
-    rp = return_pnl(t)
-    j = op.join(rp, PNL_KEYS, "left")
+    """Q01: order_date x city x channel x category P&L waterfall, from gross
+    revenue at MRP down to contribution margin (refunds booked on the order's
+    date and attributes, not the return's)."""
+    j = pnl_groups(t)
     refund = zero_if_null("refund_value")
     rev_log = zero_if_null("reverse_logistics")
     cm = contribution_margin("gross_revenue", refund, "marketplace_commission", "cogs", "packaging", "logistics", rev_log)

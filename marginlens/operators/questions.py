@@ -82,7 +82,7 @@ def adhoc_sql(t: Tables, sql_text: str, limit: int = 20) -> DataFrame:
     """Q41: run SQL text over the registered tables and mart views; return a
     preview of the first ``limit`` rows (the preview is the feature)."""
     spark = t.spark
-    register_views(t)
+    register_views(t, only_named_in=sql_text)
     return spark.sql(sql_text).limit(limit)
 
 

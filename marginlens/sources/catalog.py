@@ -22,7 +22,9 @@ local one created, which is what tests do.
 
 from __future__ import annotations
 
+import logging
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -37,6 +39,7 @@ SORT_KEYS = {"fact_orders": "order_date", "fact_returns": "return_date"}
 
 _lock = threading.Lock()
 _loaded: dict[tuple[str, str], Tables] = {}
+log = logging.getLogger(__name__)
 
 
 def storage_root(spark: SparkSession) -> str:
@@ -109,31 +112,39 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
     """
     if not materialize_tables:
         return testdata.build_tables(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.conf.get("spark.app.id", "") or str(id(spark)), os.path.abspath(sf_dir))
     with _lock:
         if key in _loaded:
             return _loaded[key]
-        token = uuid.uuid4().hex[:10]
-        root = f"{storage_root(spark)}/marginlens/{os.path.basename(os.path.abspath(sf_dir))}-{token}"
-        buckets = bucket_count(spark)
-        lines = _write_bucketed(
-            spark, testdata.order_lines(spark, sf_dir), f"{root}/order_lines", f"marginlens_{token}_order_lines",
-            "order_date", buckets,
-        )
-        returns = _write_bucketed(
-            spark, testdata.returns_from_lines(lines), f"{root}/fact_returns", f"marginlens_{token}_fact_returns",
-            "return_date", buckets, shuffle=False,
-        )
-        lazy = testdata.build_tables(spark, sf_dir, lines=lines)
-        small = {}
-        for name in ("dim_sku", "dim_store", "fact_marketing_spend"):
-            getattr(lazy, name).write.mode("overwrite").parquet(f"{root}/{name}")
-            small[name] = spark.read.parquet(f"{root}/{name}")
-        tables = Tables(fact_orders=testdata.orders_from_lines(lines), fact_returns=returns, **small)
+        try:
+            tables = _load_and_write(spark, sf_dir)
+        except Exception as exc:  # e.g. a session that cannot write tables
+            log.warning("load step not written (%s); querying the source tables directly", exc)
+            tables = testdata.build_tables(spark, sf_dir)
         _loaded[key] = tables
         return tables
 
 
+def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
+    token = uuid.uuid4().hex[:10]
+    root = f"{storage_root(spark)}/marginlens/{os.path.basename(os.path.abspath(sf_dir))}-{token}"
+    buckets = bucket_count(spark)
+    lines = _write_bucketed(
+        spark, testdata.order_lines(spark, sf_dir), f"{root}/order_lines", f"marginlens_{token}_order_lines",
+        "order_date", buckets,
+    )
+    returns = _write_bucketed(
+        spark, testdata.returns_from_lines(lines), f"{root}/fact_returns", f"marginlens_{token}_fact_returns",
+        "return_date", buckets, shuffle=False,
+    )
+    lazy = testdata.build_tables(spark, sf_dir, lines=lines)
+    small = {}
+    for name in ("dim_sku", "dim_store", "fact_marketing_spend"):
+        getattr(lazy, name).write.mode("overwrite").parquet(f"{root}/{name}")
+        small[name] = spark.read.parquet(f"{root}/{name}")
+    return Tables(fact_orders=testdata.orders_from_lines(lines), fact_returns=returns, **small)
+
+
 # View names: RAW tables under their own names, MARTS views with a v_ prefix,
 # as in the reference warehouse.
 MART_VIEWS = (
@@ -147,26 +158,29 @@ MART_VIEWS = (
 )
 
 
-def register_views(tables: Tables, marts: bool = True) -> list[str]:
-    """Register the raw tables and (lazily defined) mart views as temp views,
-    so SQL text can name them. Returns the registered names."""
+def register_views(tables: Tables, marts: bool = True, only_named_in: str | None = None) -> list[str]:
+    """Register the raw tables and the (lazily defined) mart views as temp
+    views, so SQL text can name them. With ``only_named_in``, a mart view is
+    defined only if that SQL text names it. Returns the registered names."""
     from ..operators import marts as m
 
+    builders = {
+        "v_daily_pnl": m.daily_pnl,
+        "v_returns_analytics": m.returns_analytics,
+        "v_return_rate": m.return_rate,
+        "v_price_parity": m.price_parity,
+        "v_sku_profitability": m.sku_profitability,
+        "v_marketing_efficiency": m.marketing_efficiency,
+        "v_store_performance": m.store_performance,
+    }
     names = []
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
         names.append(name)
     if marts:
-        views: dict[str, DataFrame] = {
-            "v_daily_pnl": m.daily_pnl(tables),
-            "v_returns_analytics": m.returns_analytics(tables),
-            "v_return_rate": m.return_rate(tables),
-            "v_price_parity": m.price_parity(tables),
-            "v_sku_profitability": m.sku_profitability(tables),
-            "v_marketing_efficiency": m.marketing_efficiency(tables),
-            "v_store_performance": m.store_performance(tables),
-        }
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
+        for name, build in builders.items():
+            if only_named_in is not None and not re.search(rf"\b{name}\b", only_named_in, re.IGNORECASE):
+                continue
+            build(tables).createOrReplaceTempView(name)
             names.append(name)
     return names

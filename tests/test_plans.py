@@ -35,8 +35,9 @@ def test_returns_join_orders_without_shuffling_the_facts(t, no_broadcast):
     assert "Exchange hashpartitioning(order_id" not in plan
 
 
-def test_distinct_orders_dedup_without_shuffle(t, no_broadcast):
-    plan = _plan(marts.order_pnl(t))
+def test_daily_pnl_has_one_shuffle(t, no_broadcast):
+    plan = _plan(marts.daily_pnl(t))
+    assert "SortMergeJoin" in plan
     # only the small exchange on the group keys remains
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning(order_date" in plan
