@@ -45,31 +45,31 @@ def _window_orders(t: Tables, d: Column, days: int = LOOKBACK_DAYS) -> DataFrame
     return t.fact_orders.where(F.col("order_date").between(F.date_sub(d, days), d))
 
 
-def daily_order_kpis(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("order_date").agg(
+def daily_sums(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """Order and return sums per order date, in one pass over the orders.
+
+    Each order row meets its order's pre-aggregated returns (a left join,
+    one row per order row), so one aggregation yields both sides; refunds are
+    booked on the order's date. The reference joins the two daily sides on
+    the date with ``=``, so the NULL-date group gets no refunds (``dated``)."""
+    orders = t.fact_orders if orders is None else orders
+    j = orders.join(returns_per_order(t), "order_id", "left")
+    dated = F.col("order_date").isNotNull()
+    return j.groupBy("order_date").agg(
         money_sum("gross_revenue").alias("revenue"),
         F.countDistinct("order_id").alias("orders"),
         money_sum("commission").alias("commission"),
         money_sum("cogs").alias("cogs"),
         money_sum("packaging_cost").alias("pack"),
         money_sum("logistics_cost").alias("logistics"),
-    )
-
-
-def daily_return_costs(t: Tables, orders: DataFrame) -> DataFrame:
-    """Refunds and reverse logistics per *order* date, for the given orders."""
-    return (
-        returns_per_order(t)
-        .join(orders.select("order_id", "order_date"), "order_id")
-        .groupBy("order_date")
-        .agg(from_cents(F.sum("refund_c")).alias("refunds"), from_cents(F.sum("rev_log_c")).alias("rev_log"))
+        from_cents(F.sum(F.when(dated, F.col("refund_c")))).alias("refunds"),
+        from_cents(F.sum(F.when(dated, F.col("rev_log_c")))).alias("rev_log"),
     )
 
 
 def daily_kpis(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Revenue, distinct orders, refunds and contribution margin per order date."""
-    orders = t.fact_orders if orders is None else orders
-    d = daily_order_kpis(orders).join(daily_return_costs(t, orders), "order_date", "left")
+    d = daily_sums(t, orders)
     refunds = zero_if_null("refunds")
     cm = contribution_margin("revenue", refunds, "commission", "cogs", "pack", "logistics", zero_if_null("rev_log"))
     return d.select("order_date", "revenue", "orders", refunds.alias("refunds"), cm.alias("contribution_margin"))
@@ -194,16 +194,14 @@ def daily_kpi_snapshot(t: Tables, target_date=None) -> DataFrame:
     combined cost and return-cost sums. ``SUM(refund) + SUM(reverse)`` is
     NULL (then 0) for a day where either sum is NULL, as in the reference."""
     d = target_day(t, target_date)
-    orders = _window_orders(t, d)
-    k = orders.groupBy("order_date").agg(
-        money_sum("gross_revenue").alias("rev"),
-        F.countDistinct("order_id").alias("orders"),
-        (money_sum("commission") + money_sum("cogs") + money_sum("packaging_cost") + money_sum("logistics_cost")).alias("costs"),
-    )
-    r = daily_return_costs(t, orders).select("order_date", (F.col("refunds") + F.col("rev_log")).alias("ret_cost"))
-    j = k.join(r, "order_date", "left")
-    return j.select(
-        "order_date", "rev", "orders", (F.col("rev") - zero_if_null("ret_cost") - F.col("costs")).alias("cm")
+    s = daily_sums(t, _window_orders(t, d))
+    costs = F.col("commission") + F.col("cogs") + F.col("pack") + F.col("logistics")
+    ret_cost = F.col("refunds") + F.col("rev_log")
+    return s.select(
+        "order_date",
+        F.col("revenue").alias("rev"),
+        "orders",
+        (F.col("revenue") - zero_if_null(ret_cost) - costs).alias("cm"),
     ).orderBy("order_date")
 
 

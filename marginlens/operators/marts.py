@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import (
@@ -25,7 +25,7 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import returns_per_order
+from .common import order_rows_per_key, returns_per_order
 
 PNL_KEYS = ["order_date", "city", "channel", "category"]
 
@@ -120,14 +120,16 @@ def returns_analytics(t: Tables) -> DataFrame:
         F.sum(F.unix_date("return_date").cast("long")).alias("rd_sum"),
         F.count("return_date").alias("rd_n"),
     )
-    j = per_order.join(t.fact_orders.select("order_id", "category", "channel", "city", "order_date"), "order_id")
+    # Each return meets every order row with its id (k of them): weight by k.
+    j = per_order.join(order_rows_per_key(t, "category", "channel", "city", "order_date"), "order_id")
+    k = F.col("k")
     dated = F.col("order_date").isNotNull()
-    gap_sum = F.when(dated, F.col("rd_sum") - F.col("rd_n") * F.unix_date("order_date").cast("long"))
-    gap_n = F.when(dated, F.col("rd_n"))
+    gap_sum = F.when(dated, (F.col("rd_sum") - F.col("rd_n") * F.unix_date("order_date").cast("long")) * k)
+    gap_n = F.when(dated, F.col("rd_n") * k)
     return j.groupBy(*keys).agg(
-        F.sum("n").alias("return_count"),
-        from_cents(F.sum("refund_c")).alias("total_refund"),
-        from_cents(F.sum("rev_log_c")).alias("total_reverse_logistics"),
+        F.sum(F.col("n") * k).alias("return_count"),
+        from_cents(F.sum(F.col("refund_c") * k)).alias("total_refund"),
+        from_cents(F.sum(F.col("rev_log_c") * k)).alias("total_reverse_logistics"),
         F.when(F.sum(gap_n) > 0, F.sum(gap_sum).cast("double") / F.sum(gap_n)).alias("avg_days_to_return"),
     )
 
@@ -141,10 +143,16 @@ def return_rate(t: Tables, keys: tuple[str, ...] = ("category", "channel")) -> D
     with orders bucketed by order_id that step needs no shuffle.
     """
     keys = list(keys)
-    orders = t.fact_orders.select(*keys, "order_id")
-    total = orders.groupBy(*keys).agg(F.countDistinct("order_id").alias("total_orders"))
+    # Distinct (keys, order id) and (order id, return id) pairs first: both
+    # deduplicate inside the order_id buckets, and the join between them
+    # stays linear even if an order id repeats on both sides.
+    # Rows of ``orders`` are distinct (keys, order id) pairs, so counting
+    # non-NULL ids per group is the distinct count.
+    orders = t.fact_orders.select(*keys, "order_id").distinct()
+    total = orders.groupBy(*keys).agg(F.count("order_id").alias("total_orders"))
     returned = (
         t.fact_returns.select("order_id", "return_id")
+        .distinct()
         .join(orders, "order_id")
         .groupBy(*keys)
         .agg(F.countDistinct("return_id").alias("returned_orders"))
@@ -182,23 +190,40 @@ def price_parity(t: Tables) -> DataFrame:
     return g.select("*", spread.alias("price_spread"))
 
 
-def sku_orders(t: Tables) -> DataFrame:
-    return t.fact_orders.groupBy("sku_id", "category").agg(
+def sku_groups(t: Tables) -> DataFrame:
+    """Per sku x category: order sums, and the sku's return totals.
+
+    One pass: order rows meet their order's pre-aggregated returns, one
+    aggregation by sku x category, then the return sums are totalled per sku
+    by a window over that (small) aggregate. A sku sold under two categories
+    thus meets all its returns in both rows, as when returns are grouped per
+    sku and joined back with ``=`` (so a NULL sku gets none)."""
+    j = t.fact_orders.join(returns_per_order(t), "order_id", "left")
+    g = j.groupBy("sku_id", "category").agg(
         F.sum("qty").alias("units_sold"),
         money_sum("gross_revenue").alias("gross_revenue"),
         money_sum("commission").alias("commission"),
         money_sum("cogs").alias("cogs"),
         money_sum("packaging_cost").alias("packaging"),
         money_sum("logistics_cost").alias("logistics"),
+        F.sum("refund_c").alias("_refund_c"),
+        F.sum("rev_log_c").alias("_rev_log_c"),
+        F.sum("n").alias("_n"),
     )
-
-
-def sku_returns(t: Tables) -> DataFrame:
-    per_order = returns_per_order(t).join(t.fact_orders.select("order_id", "sku_id"), "order_id")
-    return per_order.groupBy("sku_id").agg(
-        from_cents(F.sum("refund_c")).alias("refunds"),
-        from_cents(F.sum("rev_log_c")).alias("rev_log"),
-        F.sum("n").alias("return_count"),
+    per_sku = Window.partitionBy("sku_id")
+    has_sku = F.col("sku_id").isNotNull()
+    return g.select(
+        "sku_id",
+        "category",
+        "units_sold",
+        "gross_revenue",
+        "commission",
+        "cogs",
+        "packaging",
+        "logistics",
+        F.when(has_sku, from_cents(F.sum("_refund_c").over(per_sku))).alias("refunds"),
+        F.when(has_sku, from_cents(F.sum("_rev_log_c").over(per_sku))).alias("rev_log"),
+        F.when(has_sku, F.sum("_n").over(per_sku)).alias("return_count"),
     )
 
 
@@ -207,7 +232,7 @@ def sku_profitability(t: Tables) -> DataFrame:
     true margin after returns. Returns are grouped per sku only, so a sku
     sold under two categories meets its returns in both rows (as in the
     reference)."""
-    j = sku_orders(t).join(sku_returns(t), "sku_id", "left")
+    j = sku_groups(t)
     returns = zero_if_null("return_count")
     refunds = zero_if_null("refunds")
     rev_log = zero_if_null("rev_log")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import money_sum
 from ..sources.catalog import register_views
 from ..sources.tables import Tables
-from .common import month_start, returns_per_order
+from .common import month_start, order_rows_per_key, returns_per_order
 from .dashboard import channel_revenue
 from .marts import daily_pnl, return_rate
 
@@ -65,10 +65,9 @@ def lowest_commission_channel(t: Tables) -> DataFrame:
 
 def top_reasons_category(t: Tables, category: str, k: int = 3) -> DataFrame:
     """Q39: the k most frequent return reasons for one category, all channels."""
-    per_order = returns_per_order(t, "return_reason").join(
-        t.fact_orders.where(F.col("category") == category).select("order_id"), "order_id"
-    )
-    counts = per_order.groupBy("return_reason").agg(F.sum("n").alias("n"))
+    orders = _restrict(t, F.col("category") == category)
+    per_order = returns_per_order(t, "return_reason").join(order_rows_per_key(orders), "order_id")
+    counts = per_order.groupBy("return_reason").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
     return counts.orderBy(F.col("n").desc(), F.col("return_reason").asc_nulls_last()).limit(k)
 
 

@@ -142,3 +142,22 @@ def test_returns_analytics_days_to_return(spark):
     )
     (r,) = rows(marts.returns_analytics(t))
     assert r["return_count"] == 2 and r["avg_days_to_return"] == 3.5
+
+
+def test_repeated_order_id_keeps_join_multiplicity(spark):
+    # order id O1 twice in orders and twice in returns: a row-level join
+    # gives 4 pairs; the pre-aggregated joins must give the same sums.
+    t = make_tables(
+        spark,
+        orders=[order("O1"), order("O1")],
+        returns=[ret("R1", "O1", refund=100, rev_log=10), ret("R2", "O1", refund=200, rev_log=20)],
+    )
+    (p,) = rows(marts.daily_pnl(t))
+    assert p["order_count"] == 1 and p["gross_revenue"] == D(1600)
+    assert p["returns_count"] == 4 and p["refund_value"] == D(600)
+    (a,) = rows(marts.returns_analytics(t))
+    assert a["return_count"] == 4 and a["total_refund"] == D(600) and a["total_reverse_logistics"] == D(60)
+    (rr,) = rows(marts.return_rate(t))
+    assert (rr["total_orders"], rr["returned_orders"]) == (1, 2)
+    (s,) = rows(marts.sku_profitability(t))
+    assert s["returns"] == 4
