@@ -3,9 +3,10 @@
 Everything here is a plain ``pyspark.sql.Column`` expression, so it stays
 inside whole-stage codegen; nothing is a UDF.
 
-Money is carried as exact decimals through every sum. A ratio is taken only
-once at the end, on doubles converted from those exact sums, so the result is
-the correctly rounded quotient of exact values on any engine.
+Money is carried exactly through every sum (as integer cents inside the
+aggregation, as decimals outside it). A ratio is taken only once at the end,
+on doubles converted from those exact sums, so the result is the correctly
+rounded quotient of exact values on any engine.
 """
 
 from __future__ import annotations
@@ -20,9 +21,6 @@ from pyspark.sql import functions as F
 LAKH = 1e5
 CRORE = 1e7
 
-MONEY = "decimal(38,2)"
-
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -32,11 +30,6 @@ def dec(value: str) -> Column:
     return F.lit(Decimal(value))
 
 
-def money(c: str | Column) -> Column:
-    """Widen an exact amount to the common output decimal type."""
-    return col(c).cast(MONEY)
-
-
 def as_double(c: str | Column) -> Column:
     return col(c).cast("double")
 
@@ -93,12 +86,6 @@ def exact_mean(c: str | Column) -> Column:
     return F.when(F.count(c) > 0, money_sum(c).cast("double") / F.count(c))
 
 
-def exact_mean_int(c: str | Column) -> Column:
-    """Mean of an integer column: exact long sum, then one division."""
-    c = col(c)
-    return F.when(F.count(c) > 0, F.sum(c).cast("double") / F.count(c))
-
-
 def round_half_up(c: str | Column, digits: int) -> Column:
     """Round a double half away from zero with plain IEEE steps
     (scale, add one half, floor, unscale), so it is the same on every engine."""
@@ -151,6 +138,3 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
-
-def last_day_of_month(c: str | Column) -> Column:
-    return F.last_day(col(c))

@@ -145,22 +145,9 @@ def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(fact_orders=testdata.orders_from_lines(lines), fact_returns=returns, **small)
 
 
-# View names: RAW tables under their own names, MARTS views with a v_ prefix,
-# as in the reference warehouse.
-MART_VIEWS = (
-    "v_daily_pnl",
-    "v_returns_analytics",
-    "v_return_rate",
-    "v_price_parity",
-    "v_sku_profitability",
-    "v_marketing_efficiency",
-    "v_store_performance",
-)
-
-
 def register_views(tables: Tables, marts: bool = True, only_named_in: str | None = None) -> list[str]:
-    """Register the raw tables and the (lazily defined) mart views as temp
-    views, so SQL text can name them. With ``only_named_in``, a mart view is
+    """Register the raw tables under their own names and the (lazily defined)
+    mart views with a ``v_`` prefix, as temp views, so SQL text can name them. With ``only_named_in``, a mart view is
     defined only if that SQL text names it. Returns the registered names."""
     from ..operators import marts as m
 

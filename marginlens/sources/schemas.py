@@ -85,5 +85,3 @@ PRIMARY_KEYS = {
     "fact_orders": "order_id",
     "fact_returns": "return_id",
 }
-
-TABLE_NAMES = tuple(SCHEMAS)

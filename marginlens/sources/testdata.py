@@ -29,8 +29,6 @@ SPEND_CATEGORIES = ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")
 COMMISSION_RATES = (("MYNTRA", "0.18"), ("FLIPKART", "0.20"), ("AJIO", "0.22"))
 STORE_OPEN_BASE = "2020-01-01"
 
-SOURCE_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
-
 
 def _pick(values: tuple[str, ...], key: Column) -> Column:
     """``values[key % len(values)]``; NULL key gives NULL."""

@@ -33,23 +33,40 @@ def test_inferred_csv_types(spark, tmp_path):
     assert types["mrp"] == "int" and types["cogs"] == "double"
 
 
+CSV_FILES = {
+    "dim_sku": "sku_id,category,mrp,cogs,packaging_cost\nS1,Shirts,1000,350,20\n",
+    "dim_store": STORE_CSV,
+    "fact_orders": (
+        "order_id,order_date,city,channel,store_id,sku_id,category,mrp,selling_price,discount_pct,qty,"
+        "gross_revenue,commission,logistics_cost,cogs,packaging_cost\n"
+        "O1,2024-01-10,Mumbai,MYNTRA,,S1,Shirts,1000,800,0.2,1,800,144,65,350,20\n"
+    ),
+    "fact_returns": "return_id,order_id,return_date,return_reason,refund_amount,reverse_logistics_cost\nR1,O1,2024-01-15,Size issue,800,90\n",
+    "fact_marketing_spend": "spend_date,channel,category,marketing_spend\n2024-01-01,MYNTRA,Shirts,1000\n",
+}
+
+
+def _write_csvs(path):
+    for name, text in CSV_FILES.items():
+        (path / f"{name}.csv").write_text(text)
+
+
 def test_load_csv_dir_reads_all_five(spark, tmp_path):
-    files = {
-        "dim_sku": "sku_id,category,mrp,cogs,packaging_cost\nS1,Shirts,1000,350,20\n",
-        "dim_store": STORE_CSV,
-        "fact_orders": (
-            "order_id,order_date,city,channel,store_id,sku_id,category,mrp,selling_price,discount_pct,qty,"
-            "gross_revenue,commission,logistics_cost,cogs,packaging_cost\n"
-            "O1,2024-01-10,Mumbai,MYNTRA,,S1,Shirts,1000,800,0.2,1,800,144,65,350,20\n"
-        ),
-        "fact_returns": "return_id,order_id,return_date,return_reason,refund_amount,reverse_logistics_cost\nR1,O1,2024-01-15,Size issue,800,90\n",
-        "fact_marketing_spend": "spend_date,channel,category,marketing_spend\n2024-01-01,MYNTRA,Shirts,1000\n",
-    }
-    for name, text in files.items():
-        (tmp_path / f"{name}.csv").write_text(text)
+    _write_csvs(tmp_path)
     t = load_csv_dir(spark, str(tmp_path))
     from marginlens.operators.marts import daily_pnl
 
     (r,) = rows(daily_pnl(t))
     assert r["returns_count"] == 1 and str(r["contribution_margin"]) == "-669.00"
     assert os.path.exists(tmp_path / "fact_orders.csv")
+
+
+def test_materialized_csv_tables_give_the_same_results(spark, tmp_path):
+    from marginlens.operators.marts import daily_pnl, store_performance
+    from marginlens.sources.catalog import materialize
+
+    _write_csvs(tmp_path)
+    lazy = load_csv_dir(spark, str(tmp_path))
+    stored = materialize(spark, lazy, str(tmp_path / "warehouse"), buckets=4)
+    assert rows(daily_pnl(stored)) == rows(daily_pnl(lazy))
+    assert sorted(map(str, rows(store_performance(stored)))) == sorted(map(str, rows(store_performance(lazy))))
