@@ -130,11 +130,27 @@ def zero_if_null(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(0))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join on ``keys`` treating NULL as a value (``<=>``), keeping the
-    left copy of each key. Used where both sides are groupings of the same
-    fact rows, so a NULL group on one side must meet the NULL group on the other."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+def merge_on_keys(keys: list[str], left: DataFrame, *others: DataFrame) -> DataFrame:
+    """Left-join grouped frames on ``keys``, NULL matching NULL (``<=>``),
+    without a join: the frames are stacked and grouped once on the keys.
+
+    Each frame must hold one row per key (a grouping), and the keys of the
+    others must occur in ``left`` (they are groupings of the same fact rows),
+    so each key's row takes every column from the one frame that has it. The
+    frames are already hash-partitioned on the keys by their own grouping;
+    the stack needs one small exchange of the grouped rows, where a null-safe
+    join would re-shuffle both sides on ``coalesce``/``isnull`` expressions
+    and sort them."""
+    frames = (left, *others)
+    fields = [f for df in frames for f in df.schema.fields if f.name not in keys]
+    parts = []
+    for i, df in enumerate(frames):
+        own = set(df.columns)
+        cols = [F.col(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        parts.append(df.select(*keys, F.lit(i == 0).alias("__left"), *cols))
+    stacked = reduce(DataFrame.unionByName, parts)
+    merged = stacked.groupBy(*keys).agg(
+        F.max("__left").alias("__left"), *[F.max(f.name).alias(f.name) for f in fields]
+    )
+    return merged.where(F.col("__left")).drop("__left")
 

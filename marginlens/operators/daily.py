@@ -23,7 +23,7 @@ from ..functions.measures import (
     change_pct,
     contribution_margin,
     from_cents,
-    join_null_safe,
+    merge_on_keys,
     money_sum,
     round_half_up,
     safe_ratio,
@@ -127,7 +127,7 @@ def category_movers(t: Tables, target_date=None) -> DataFrame:
         )
     )
     cats = t.fact_orders.select("category").distinct()
-    j = join_null_safe(cats, win, ["category"], "left")
+    j = merge_on_keys(["category"], cats, win)
     avg_rev = as_double(zero_if_null("_prior")) / float(LOOKBACK_DAYS)
     today = zero_if_null("today_rev")
     return j.select(

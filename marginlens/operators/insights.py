@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import as_double, div0, exact_mean, gross_margin, join_null_safe, money_sum, safe_ratio
+from ..functions.measures import as_double, div0, exact_mean, gross_margin, merge_on_keys, money_sum, safe_ratio
 from ..sources.tables import Tables
 from .marts import daily_pnl, return_rate, sku_profitability
 
@@ -67,7 +67,7 @@ def category_channel_margin(t: Tables) -> DataFrame:
         F.sum(gross_margin("gross_revenue", "marketplace_commission", "cogs", "packaging", "logistics")).alias("gross_margin"),
         F.sum("contribution_margin").alias("contribution_margin"),
     )
-    j = join_null_safe(return_rate(t), pnl, keys, "left")
+    j = merge_on_keys(keys, return_rate(t), pnl)
     return j.select(
         *keys,
         "total_orders",

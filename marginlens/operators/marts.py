@@ -19,7 +19,7 @@ from ..functions.measures import (
     exact_mean,
     from_cents,
     gross_margin,
-    join_null_safe,
+    merge_on_keys,
     money_sum,
     sum_cents,
     zero_if_null,
@@ -137,7 +137,7 @@ def returns_analytics(t: Tables) -> DataFrame:
 def return_rate(t: Tables, keys: tuple[str, ...] = ("category", "channel")) -> DataFrame:
     """Q03: distinct orders, distinct returns and their ratio per group.
 
-    Written as two single-distinct aggregations joined on the group key
+    Written as two single-distinct aggregations merged on the group key
     rather than two distinct counts over one joined frame (which Spark
     expands row-wise). The order side deduplicates on (keys, order_id):
     with orders bucketed by order_id that step needs no shuffle.
@@ -157,7 +157,7 @@ def return_rate(t: Tables, keys: tuple[str, ...] = ("category", "channel")) -> D
         .groupBy(*keys)
         .agg(F.countDistinct("return_id").alias("returned_orders"))
     )
-    j = join_null_safe(total, returned, keys, "left")
+    j = merge_on_keys(keys, total, returned)
     ret = zero_if_null("returned_orders")
     return j.select(*keys, "total_orders", ret.alias("returned_orders"), div0(ret, "total_orders").alias("return_rate"))
 
