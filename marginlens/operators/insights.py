@@ -44,9 +44,13 @@ def channel_cm_per_spend(t: Tables) -> DataFrame:
         F.sum("gross_revenue").alias("gross_revenue"),
         F.sum("contribution_margin").alias("contribution_margin"),
     )
-    spend = t.fact_marketing_spend.groupBy("channel").agg(money_sum("marketing_spend").alias("marketing_spend"))
+    spend = (
+        t.fact_marketing_spend.where(F.col("channel").isNotNull())
+        .groupBy("channel")
+        .agg(money_sum("marketing_spend").alias("marketing_spend"))
+    )
     total = t.fact_orders.agg(money_sum("gross_revenue").alias("total")).scalar()
-    j = pnl.join(spend, "channel", "left")
+    j = merge_on_keys(["channel"], pnl, spend)
     return j.select(
         "channel",
         "gross_revenue",

@@ -262,9 +262,16 @@ def marketing_efficiency(t: Tables) -> DataFrame:
     """Q06: margin against marketing spend per category x channel.
     Spend without sales is dropped; sales without spend get NULL spend and
     NULL ROMI; zero spend gives ROMI 0."""
+    keys = ["category", "channel"]
     pnl = category_channel_pnl(t)
-    spend = t.fact_marketing_spend.groupBy("category", "channel").agg(money_sum("marketing_spend").alias("marketing_spend"))
-    j = pnl.join(spend, ["category", "channel"], "left")
+    # A plain ``=`` left join: spend under a NULL key meets nothing, so it is
+    # dropped before the (NULL-matching) merge.
+    spend = (
+        t.fact_marketing_spend.where(F.col("category").isNotNull() & F.col("channel").isNotNull())
+        .groupBy(*keys)
+        .agg(money_sum("marketing_spend").alias("marketing_spend"))
+    )
+    j = merge_on_keys(keys, pnl, spend)
     return j.select(
         "category",
         "channel",

@@ -161,3 +161,15 @@ def test_repeated_order_id_keeps_join_multiplicity(spark):
     assert (rr["total_orders"], rr["returned_orders"]) == (1, 2)
     (s,) = rows(marts.sku_profitability(t))
     assert s["returns"] == 4
+
+
+def test_spend_under_null_key_meets_no_sales(spark):
+    import datetime as dt
+
+    t = make_tables(
+        spark,
+        orders=[order("O1", category=None, channel="MYNTRA")],
+        spend=[(dt.date(2024, 1, 1), "MYNTRA", None, Decimal("500"))],
+    )
+    (r,) = rows(marts.marketing_efficiency(t))
+    assert r["category"] is None and r["marketing_spend"] is None and r["romi"] is None
