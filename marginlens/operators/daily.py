@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import (
@@ -246,38 +246,29 @@ def daily_anomalies(t: Tables, k: float = 2.0, lookback: int = LOOKBACK_DAYS) ->
     of the days present in the ``lookback`` calendar days before it (at least
     two such days needed).
 
-    Distributed range join without a single-partition window: each daily
-    value is sent forward to the ``lookback`` days it is a baseline for
-    (a bounded ``lookback``-fold copy of a per-day frame), aggregated per
-    target day, and joined back on (kpi, day). Moments are exact decimal
-    sums; only the final mean and deviation are doubles.
+    The facts are aggregated to one row per day first (one pass); the
+    baseline is a RANGE window over that per-day series, partitioned by KPI,
+    so each window partition holds one row per calendar day, a size bounded
+    by the calendar and not by the data. Moments are exact decimal sums; only
+    the final mean and deviation are doubles.
     """
     daily = daily_kpis(t)
-    long = daily.select(
+    long = daily.unpivot(
         "order_date",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("kpi"), F.col(m).cast("decimal(38,2)").alias("value"))
-                    for m in ANOMALY_KPIS
-                ]
-            )
-        ).alias("kv"),
-    ).select("order_date", "kv.kpi", "kv.value")
-    baseline = (
-        long.select(
-            "kpi",
-            "value",
-            F.explode(F.sequence(F.date_add("order_date", 1), F.date_add("order_date", lookback))).alias("order_date"),
-        )
-        .groupBy("kpi", "order_date")
-        .agg(
-            F.count("value").alias("n"),
-            F.sum("value").alias("s"),
-            F.sum(F.col("value") * F.col("value")).alias("ss"),
-        )
+        [F.col(m).cast("decimal(38,2)").alias(m) for m in ANOMALY_KPIS],
+        "kpi",
+        "value",
+    )
+    prior = Window.partitionBy("kpi").orderBy(F.unix_date("order_date")).rangeBetween(-lookback, -1)
+    v = F.col("value")
+    j = long.select(
+        "order_date",
+        "kpi",
+        "value",
+        F.count(v).over(prior).alias("n"),
+        F.sum(v).over(prior).alias("s"),
+        F.sum(v * v).over(prior).alias("ss"),
     )
-    j = long.join(baseline, ["kpi", "order_date"])
     n = F.col("n")
     mean = as_double("s") / n
     var = as_double(n * F.col("ss") - F.col("s") * F.col("s")) / as_double(n * (n - 1))
