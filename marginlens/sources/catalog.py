@@ -53,11 +53,34 @@ def storage_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def bucket_count(spark: SparkSession) -> int:
+BUCKET_TARGET_BYTES = 128 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (file listing only; the
+    ``binaryFile`` source does not read content unless asked for it)."""
+    from pyspark.sql import functions as F
+
+    size = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0]
+    )
+    return int(size or 0)
+
+
+def bucket_count(spark: SparkSession, source_bytes: int | None = None) -> int:
+    """Buckets of the facts: ``marginlens.buckets`` if set; else about one
+    per 128 MiB of source, at least the cluster's parallelism (every core
+    scans) and at most ``spark.sql.shuffle.partitions`` (sized to the
+    cluster by its user)."""
     explicit = spark.conf.get("marginlens.buckets", None)
     if explicit:
         return int(explicit)
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    upper = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if source_bytes is None:
+        return upper
+    lower = max(1, spark.sparkContext.defaultParallelism)
+    wanted = -(-source_bytes // BUCKET_TARGET_BYTES)
+    return max(1, min(upper, max(lower, wanted)))
 
 
 def _write_bucketed(
@@ -129,7 +152,7 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
 def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
     token = uuid.uuid4().hex[:10]
     root = f"{storage_root(spark)}/marginlens/{os.path.basename(os.path.abspath(sf_dir))}-{token}"
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, input_bytes(spark, os.path.join(sf_dir, "lineitem.parquet")))
     lines = _write_bucketed(
         spark, testdata.order_lines(spark, sf_dir), f"{root}/order_lines", f"marginlens_{token}_order_lines",
         "order_date", buckets,
