@@ -47,9 +47,21 @@ def date_param(value: str | date | Column | None, default: Column) -> Column:
 
 
 def max_order_date_col(t: Tables) -> Column:
-    """The last order date as a scalar subquery (planned once, no collect)."""
+    """The last order date as a scalar subquery (lazy; planned once)."""
     return t.fact_orders.select(F.max("order_date")).scalar()
 
 
+def last_order_date(t: Tables) -> Column:
+    """The last order date, resolved now as a date literal.
+
+    One aggregate over the single ``order_date`` column returns one value.
+    Unlike a scalar subquery, a literal reaches the parquet scan of the
+    window queries as a pushed filter, so on date-sorted buckets they read
+    only the row groups of the window. An empty table gives a NULL date
+    (and empty windows)."""
+    value = t.fact_orders.agg(F.max("order_date").alias("d")).first()["d"]
+    return F.lit(value).cast("date")
+
+
 def month_start(value: str | date) -> Column:
     return F.trunc(F.lit(str(value)).cast("date"), "month")

@@ -1,9 +1,10 @@
 """Daily report: a target day against the seven days before it.
 
-The target day defaults to the last order date. It is then a scalar
-subquery (planned once, never collected); passing an explicit date makes it
-a literal, which the parquet scan can use to skip row groups (facts are
-sorted by date inside each bucket).
+The target day defaults to the last order date, looked up once (one value
+from one column, as the reference looks it up) and used as a literal, like
+an explicit date: the parquet scan gets the window as a pushed filter and
+skips the row groups outside it (facts are sorted by date inside each
+bucket). A Column may be passed instead, e.g. a scalar subquery.
 
 Every window query filters the fact rows to the window *before* grouping,
 so only the window's rows are read, shuffled and aggregated.
@@ -31,13 +32,15 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import date_param, max_order_date_col, returns_per_order
+from .common import date_param, last_order_date, max_order_date_col, returns_per_order
 from .dashboard import top_reasons
 
 LOOKBACK_DAYS = 7
 
 
 def target_day(t: Tables, target_date: str | date | Column | None = None) -> Column:
+    if target_date is None:
+        return last_order_date(t)
     return date_param(target_date, max_order_date_col(t))
 
 

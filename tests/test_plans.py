@@ -49,6 +49,11 @@ def test_explicit_target_date_reaches_the_scan(t):
     assert "PushedFilters: [IsNotNull(order_date), GreaterThanOrEqual(order_date,2001-07-24)" in plan
 
 
+def test_default_target_date_reaches_the_scan(t):
+    plan = _plan(daily.daily_kpi_window(t))
+    assert "PushedFilters: [IsNotNull(order_date), GreaterThanOrEqual(order_date,2001-07-25)" in plan
+
+
 def test_columns_are_pruned(t):
     plan = _plan(t.fact_orders.groupBy("city").count())
     assert "ReadSchema: struct<city:string>" in plan
