@@ -57,3 +57,21 @@ def test_default_target_date_reaches_the_scan(t):
 def test_columns_are_pruned(t):
     plan = _plan(t.fact_orders.groupBy("city").count())
     assert "ReadSchema: struct<city:string>" in plan
+
+
+def test_month_questions_push_the_month_to_the_scan(spark, t):
+    from marginlens.operators import questions
+
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = _plan(questions.top_skus_month(t, "1998-02-01"))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert "GreaterThanOrEqual(order_date,1998-02-01)" in plan
+    assert "LessThanOrEqual(order_date,1998-02-28)" in plan
+
+
+def test_return_day_filter_reaches_the_scan(t):
+    plan = _plan(daily.return_reasons_on_day(t, "2001-07-31"))
+    assert "EqualTo(return_date,2001-07-31)" in plan
