@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from typing import Any, Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ..operators import checks, daily, dashboard, insights, marts, questions
@@ -87,12 +86,16 @@ BY_NAME = {s.name: s for s in SPECS}
 
 
 def publish(df: DataFrame) -> DataFrame:
-    """Top-level exact decimals to double; other columns unchanged."""
-    cols = [
-        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name)
+    """Top-level exact decimals to double; other columns unchanged (one
+    projection, built from SQL expression text in one call)."""
+    def q(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    exprs = [
+        f"CAST({q(f.name)} AS DOUBLE) AS {q(f.name)}" if isinstance(f.dataType, DecimalType) else q(f.name)
         for f in df.schema.fields
     ]
-    return df.select(*cols)
+    return df.selectExpr(*exprs)
 
 
 def apply(tables: Tables, name: str, **overrides: Any) -> DataFrame:
