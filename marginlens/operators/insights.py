@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import as_double, div0, exact_mean, gross_margin, merge_on_keys, money_sum, safe_ratio
+from ..functions.measures import as_double, div0, gross_margin, merge_on_keys, money_sum, safe_ratio
 from ..sources.tables import Tables
-from .marts import daily_pnl, return_rate, sku_profitability
+from .marts import PARITY_CHANNELS, channel_asp, daily_pnl, return_rate, sku_profitability
 
 ONLINE, OFFLINE = "online", "offline"
 OFFLINE_CHANNEL = "OFFLINE"
@@ -119,26 +119,36 @@ def cost_waterfall(t: Tables) -> DataFrame:
 
 
 def underpriced_skus(t: Tables) -> DataFrame:
-    """Q31 (definition ours): SKUs sold on two or more channels, with the
-    spread between their dearest and cheapest mean channel price over the
-    channels actually present (all six, NULL-safe), and the cheapest channel
-    (ties go to the first channel name)."""
+    """Q31 (definition ours): SKUs sold on two or more of the six channels,
+    with the spread between their dearest and cheapest mean channel price
+    over the channels actually present (NULL-safe, unlike the parity view's
+    sentinels), and the cheapest channel (ties go to the first channel name).
+
+    One hash aggregation per sku (the parity view's conditional means); the
+    present channels are then ranked inside each row by array functions, so
+    no second aggregation or sort over sku x channel rows is needed."""
     keys = ["sku_id", "category", "mrp"]
-    per_channel = (
-        t.fact_orders.where(F.col("channel").isNotNull())
-        .groupBy(*keys, "channel")
-        .agg(exact_mean("selling_price").alias("asp"))
-        .where(F.col("asp").isNotNull())
+    g = t.fact_orders.groupBy(*keys).agg(*[channel_asp(ch).alias(name) for ch, name in PARITY_CHANNELS])
+    present = F.filter(
+        F.array(*[F.struct(F.col(name).alias("asp"), F.lit(ch).alias("channel")) for ch, name in PARITY_CHANNELS]),
+        lambda s: s["asp"].isNotNull(),
     )
-    g = per_channel.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_channels"),
-        F.max("asp").alias("max_asp"),
-        F.min("asp").alias("min_asp"),
-        F.min(F.struct("asp", "channel")).getField("channel").alias("cheapest_channel"),
+    ranked = g.select(*keys, present.alias("p")).select(
+        *keys,
+        F.size("p").cast("long").alias("n_channels"),
+        F.array_max(F.transform("p", lambda s: s["asp"])).alias("max_asp"),
+        F.array_min("p").alias("cheapest"),
     )
     return (
-        g.where(F.col("n_channels") >= 2)
-        .select(*keys, "n_channels", "max_asp", "min_asp", (F.col("max_asp") - F.col("min_asp")).alias("price_spread"), "cheapest_channel")
+        ranked.where(F.col("n_channels") >= 2)
+        .select(
+            *keys,
+            "n_channels",
+            "max_asp",
+            F.col("cheapest.asp").alias("min_asp"),
+            (F.col("max_asp") - F.col("cheapest.asp")).alias("price_spread"),
+            F.col("cheapest.channel").alias("cheapest_channel"),
+        )
         .orderBy(F.col("price_spread").desc(), F.col("sku_id").asc_nulls_last())
     )
 
