@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import weakref
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,24 @@ from ..functions.measures import cents
 from ..sources.tables import Tables
 
 
+def shared_view(fn):
+    """Build a view's DataFrame once per ``Tables`` bundle.
+
+    A DataFrame is an immutable plan, so the queries built on one view
+    (nine build on the daily P&L) can share the object and skip rebuilding
+    it through py4j. Nothing is cached but the plan: every execution reads
+    the tables again."""
+    plans: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+    @functools.wraps(fn)
+    def build(t: Tables) -> DataFrame:
+        if t not in plans:
+            plans[t] = fn(t)
+        return plans[t]
+
+    return build
+
+
 def returns_per_order(t: Tables, *keys: str) -> DataFrame:
     """Returns pre-aggregated per order id (and any extra return columns):
     count, refund and reverse logistics in integer cents (``refund_c``,

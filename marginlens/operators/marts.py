@@ -25,7 +25,7 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import order_rows_per_key, returns_per_order
+from .common import order_rows_per_key, returns_per_order, shared_view
 
 PNL_KEYS = ["order_date", "city", "channel", "category"]
 
@@ -43,6 +43,7 @@ SPREAD_CHANNELS = ("D2C_APP", "MYNTRA", "FLIPKART", "AJIO")
 SPREAD_EMPTY = 99999
 
 
+@shared_view
 def pnl_groups(t: Tables) -> DataFrame:
     """Order and return sums per order_date x city x channel x category, in
     one pass over the order fact.
@@ -77,6 +78,7 @@ def pnl_groups(t: Tables) -> DataFrame:
     )
 
 
+@shared_view
 def daily_pnl(t: Tables) -> DataFrame:
     """Q01: order_date x city x channel x category P&L waterfall, from gross
     revenue at MRP down to contribution margin (refunds booked on the order's
@@ -142,6 +144,18 @@ def return_rate(t: Tables, keys: tuple[str, ...] = ("category", "channel")) -> D
     expands row-wise). The order side deduplicates on (keys, order_id):
     with orders bucketed by order_id that step needs no shuffle.
     """
+    if tuple(keys) == ("category", "channel"):
+        return _return_rate_cc(t)
+    return _return_rate(t, keys)
+
+
+@shared_view
+def _return_rate_cc(t: Tables) -> DataFrame:
+    return _return_rate(t, ("category", "channel"))
+
+
+def _return_rate(t: Tables, keys: tuple[str, ...]) -> DataFrame:
+    """Distinct orders, distinct returns and their ratio per group of ``keys``."""
     keys = list(keys)
     # Distinct (keys, order id) and (order id, return id) pairs first: both
     # deduplicate inside the order_id buckets, and the join between them
@@ -190,6 +204,7 @@ def price_parity(t: Tables) -> DataFrame:
     return g.select("*", spread.alias("price_spread"))
 
 
+@shared_view
 def sku_groups(t: Tables) -> DataFrame:
     """Per sku x category: order sums, and the sku's return totals.
 
@@ -227,6 +242,7 @@ def sku_groups(t: Tables) -> DataFrame:
     )
 
 
+@shared_view
 def sku_profitability(t: Tables) -> DataFrame:
     """Q05: per sku x category: units, revenue, returns, gross margin and
     true margin after returns. Returns are grouped per sku only, so a sku
@@ -250,6 +266,7 @@ def sku_profitability(t: Tables) -> DataFrame:
     )
 
 
+@shared_view
 def category_channel_pnl(t: Tables) -> DataFrame:
     """The daily P&L rolled up to category x channel (margin and net revenue)."""
     return daily_pnl(t).groupBy("category", "channel").agg(
