@@ -57,15 +57,6 @@ def order_rows_per_key(t: Tables, *cols: str) -> DataFrame:
     return t.fact_orders.groupBy("order_id", *cols).agg(F.count(F.lit(1)).alias("k"))
 
 
-def date_param(value: str | date | Column | None, default: Column) -> Column:
-    """A date parameter: a literal when given, else ``default`` (a lazy scalar)."""
-    if value is None:
-        return default
-    if isinstance(value, Column):
-        return value
-    return F.lit(str(value)).cast("date")
-
-
 def max_order_date_col(t: Tables) -> Column:
     """The last order date as a scalar subquery (lazy; planned once)."""
     return t.fact_orders.select(F.max("order_date")).scalar()

@@ -32,16 +32,21 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import date_param, last_order_date, max_order_date_col, returns_per_order
+from .common import last_order_date, returns_per_order
 from .dashboard import top_reasons
 
 LOOKBACK_DAYS = 7
 
 
 def target_day(t: Tables, target_date: str | date | Column | None = None) -> Column:
+    """The report day: the last order date by default, a date literal when
+    given as text or date, or any Column (e.g. ``max_order_date_col(t)``,
+    a lazy scalar subquery)."""
     if target_date is None:
         return last_order_date(t)
-    return date_param(target_date, max_order_date_col(t))
+    if isinstance(target_date, Column):
+        return target_date
+    return F.lit(str(target_date)).cast("date")
 
 
 def _window_orders(t: Tables, d: Column, days: int = LOOKBACK_DAYS) -> DataFrame:

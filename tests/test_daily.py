@@ -127,3 +127,10 @@ def test_daily_anomalies_flags_a_spike(spark):
     assert (dt.date(2024, 2, 9), "revenue") in got
     # steady days are not flagged on orders (zero spread, no excess)
     assert not any(k[1] == "orders" and k[0] < dt.date(2024, 2, 9) for k in got)
+
+
+def test_target_day_as_a_lazy_column(spark):
+    from marginlens.operators.common import max_order_date_col
+
+    t = make_tables(spark, orders=_window_orders())
+    assert rows(daily.baseline_compare(t, max_order_date_col(t))) == rows(daily.baseline_compare(t, TARGET))
