@@ -6,6 +6,7 @@ import pytest
 from conftest import SF_SMALL
 
 from marginlens.operators import daily, marts
+from marginlens.plans import registry
 from marginlens.sources.catalog import load_test_tables
 
 
@@ -75,3 +76,10 @@ def test_month_questions_push_the_month_to_the_scan(spark, t):
 def test_return_day_filter_reaches_the_scan(t):
     plan = _plan(daily.return_reasons_on_day(t, "2001-07-31"))
     assert "EqualTo(return_date,2001-07-31)" in plan
+
+
+@pytest.mark.parametrize("name", [s.name for s in registry.SPECS])
+def test_no_fact_shuffle_or_cartesian_join(t, no_broadcast, name):
+    plan = _plan(registry.apply(t, name))
+    assert "Exchange hashpartitioning(order_id" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
