@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bpe_codec, decontaminate, quality, secret_scan, simhash_cover, url_cascade
-from marginlens.llm.common import held_out, table
+from marginlens.llm import bpe_codec, decontaminate, lang_id, license_scan, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
+from marginlens.llm.common import held_out, learned, table
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -22,6 +22,12 @@ KEEP_FROM = 0.3
 SHINGLE, RADIUS = 4, 4
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lang_id.predict(docs, lang_id.learn(docs, learned(F.col("doc_id"), 5, 0)))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
@@ -30,11 +36,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree_lm.scores(table(spark, sf_dir, "documents"), learned(F.col("doc_id"), 7, 2))
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, RADIUS)
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
@@ -78,6 +97,17 @@ FROM m
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_byte_bpe, op3_decontamination, op5_simhash, op8_url_filter, op9_secret_scan, op10_quality)
+    for f in (
+        op1_language_id,
+        op2_byte_bpe,
+        op3_decontamination,
+        op4_lm_score,
+        op5_simhash,
+        op6_nearest,
+        op7_license_scan,
+        op8_url_filter,
+        op9_secret_scan,
+        op10_quality,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
