@@ -50,10 +50,18 @@ def safe_ratio(a: str | Column, b: str | Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+_EXACT = r"^(decimal\(\d+,[0-2]\)|(tiny|small|big)?int|void)$"
+
+
 def cents(c: str | Column) -> Column:
     """An amount with at most 2 decimals as exact integer cents (bigint).
-    The multiplication stays within 18 digits, so Spark keeps it on longs."""
-    return (col(c) * dec("100")).cast("long")
+    The multiplication stays within 18 digits, so Spark keeps it on longs.
+
+    Doubles and wider scales would be cut off by the cast, so they raise; the
+    type is known when the plan is made, and the check folds away."""
+    kind = F.typeof(col(c))
+    refused = F.raise_error(F.concat(F.lit("an amount must be a decimal of scale 2 or less, not "), kind))
+    return F.when(kind.rlike(_EXACT), (col(c) * dec("100")).cast("long")).otherwise(refused.cast("long"))
 
 
 def from_cents(c: str | Column) -> Column:

@@ -12,17 +12,16 @@ Layout chosen for the query mix:
   * inside each bucket, rows are sorted by date (order_date / return_date),
     so parquet row-group min/max statistics let a date-window query (the daily
     report) skip most of each file.
-  * the bucket count follows ``spark.sql.shuffle.partitions``, which is sized
-    to the cluster anyway; it can be set with ``marginlens.buckets``.
+  * the bucket count follows the source's bytes (about a GiB each); it can be
+    set with ``marginlens.buckets``.
 
 Files go under the shared folder the session names in ``spark.checkpoint.dir``
-(the SparkContext checkpoint directory). Only when the session has none is a
-local one created, which is what tests do.
+(the SparkContext checkpoint directory). Only a local session without one gets
+a temporary folder, which is what tests do.
 """
 
 from __future__ import annotations
 
-import logging
 import os
 import re
 import tempfile
@@ -39,21 +38,23 @@ SORT_KEYS = {"fact_orders": "order_date", "fact_returns": "return_date"}
 
 _lock = threading.Lock()
 _loaded: dict[tuple[str, str], Tables] = {}
-log = logging.getLogger(__name__)
+_written: dict[str, list[tuple[str, str]]] = {}  # by application: (table, path)
 
 
 def storage_root(spark: SparkSession) -> str:
-    """Shared folder for written tables: the session's checkpoint directory."""
+    """Shared folder for written tables: the session's checkpoint directory.
+    A local session without one gets a temporary folder; on a cluster that
+    would be each machine's own, so there it must be set."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if not current:
+    if not sc.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="marginlens-ckpt-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
+    return sc.getCheckpointDir().rstrip("/")
 
 
-BUCKET_TARGET_BYTES = 128 * 1024 * 1024
+BUCKET_TARGET_BYTES = 1024 * 1024 * 1024  # a bucket is read by one task
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -67,38 +68,45 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return int(size or 0)
 
 
-def bucket_count(spark: SparkSession, source_bytes: int | None = None) -> int:
-    """Buckets of the facts: ``marginlens.buckets`` if set; else about one
-    per 128 MiB of source, at least the cluster's parallelism (every core
-    scans) and at most ``spark.sql.shuffle.partitions`` (sized to the
-    cluster by its user)."""
+def bucket_count(spark: SparkSession, source_bytes: int | None) -> int:
+    """Buckets of the facts: ``marginlens.buckets`` if set; else one per GiB of
+    source, and at least the cluster's parallelism (every core scans); for a
+    source of unknown size as many as shuffle partitions. More
+    than Spark allows (``spark.sql.sources.bucketing.maxBuckets``) raises: a
+    bucket is one task, and larger ones would not fit."""
     explicit = spark.conf.get("marginlens.buckets", None)
     if explicit:
         return int(explicit)
-    upper = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if source_bytes is None:
-        return upper
-    lower = max(1, spark.sparkContext.defaultParallelism)
-    wanted = -(-source_bytes // BUCKET_TARGET_BYTES)
-    return max(1, min(upper, max(lower, wanted)))
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = max(1, spark.sparkContext.defaultParallelism, -(-source_bytes // BUCKET_TARGET_BYTES))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    if wanted > most:
+        raise ValueError(f"{source_bytes} bytes need {wanted} buckets, more than the {most} allowed; raise spark.sql.sources.bucketing.maxBuckets")
+    return wanted
 
 
-def _write_bucketed(
-    spark: SparkSession, df: DataFrame, path: str, table: str, sort_key: str, buckets: int, shuffle: bool = True
-) -> DataFrame:
+def planned_bytes(df: DataFrame) -> int | None:
+    """The size Spark's planner takes for ``df`` (file sizes, for a plain
+    scan); None where it knows none, as for rows from the driver."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 2**60 else None
+
+
+def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, table: str, sort_key: str, buckets: int) -> DataFrame:
     """Write ``df`` as a table bucketed by ``order_id`` and sorted by
-    ``sort_key`` inside each bucket; return it read back from the catalog.
-    ``shuffle`` first hash-partitions by the bucket key (one file per bucket);
-    skip it when ``df`` already comes from a table bucketed the same way."""
-    if shuffle:
-        df = df.repartition(buckets, BUCKET_KEY)
+    ``sort_key`` inside each bucket, one file per bucket; return it read back
+    from the catalog."""
     (
-        df.write.mode("overwrite")
+        df.repartition(buckets, BUCKET_KEY)
+        .write.mode("overwrite")
         .bucketBy(buckets, BUCKET_KEY)
         .sortBy(sort_key)
         .option("path", path)
         .saveAsTable(table)
     )
+    app = spark.conf.get("spark.app.id", "") or str(id(spark))
+    _written.setdefault(app, []).append((table, path))
     return spark.table(table)
 
 
@@ -109,7 +117,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str, buckets: int | N
     a catalog property, so it needs ``saveAsTable``); the data sits at an
     explicit path under ``root``. Dimensions and spend are plain parquet.
     """
-    buckets = buckets or bucket_count(spark)
+    buckets = buckets or bucket_count(spark, planned_bytes(tables.fact_orders))
     token = uuid.uuid4().hex[:10]
     out = {}
     for name, df in tables.items():
@@ -126,13 +134,13 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
     """Star schema over the driver's test tables at ``sf_dir``.
 
     With ``materialize_tables`` the mapping runs once per session and sf
-    directory, with one shuffle of the fact rows: the order lines (every
-    fact_orders column plus the line attributes that decide returns) are
-    written once, bucketed by order_id; fact_orders is that table without
-    the helper columns, and fact_returns is derived from it bucket by bucket
-    (already partitioned, so no second shuffle) and written alongside. The
-    dimensions and spend, single-table projections, stay views.
-    Without it all tables stay lazy views over the source parquet.
+    directory: the order lines (every fact_orders column plus the line
+    attributes that decide returns) are written once, bucketed by order_id;
+    fact_orders is that table without the helper columns, and fact_returns is
+    derived from it, shuffled into the same buckets (a third of the rows) and
+    written alongside. The dimensions and spend, single-table projections,
+    stay views. Without it all tables stay lazy views over the source parquet.
+    ``release`` removes what was written.
     """
     if not materialize_tables:
         return testdata.build_tables(spark, sf_dir)
@@ -140,13 +148,20 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
     with _lock:
         if key in _loaded:
             return _loaded[key]
-        try:
-            tables = _load_and_write(spark, sf_dir)
-        except Exception as exc:  # e.g. a session that cannot write tables
-            log.warning("load step not written (%s); querying the source tables directly", exc)
-            tables = testdata.build_tables(spark, sf_dir)
-        _loaded[key] = tables
-        return tables
+        _loaded[key] = _load_and_write(spark, sf_dir)
+        return _loaded[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the fact tables this session wrote, and their files."""
+    app = spark.conf.get("spark.app.id", "") or str(id(spark))
+    with _lock:
+        for key in [k for k in _loaded if k[0] == app]:
+            del _loaded[key]
+        for name, path in _written.pop(app, []):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
@@ -159,7 +174,7 @@ def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
     )
     returns = _write_bucketed(
         spark, testdata.returns_from_lines(lines), f"{root}/fact_returns", f"marginlens_{token}_fact_returns",
-        "return_date", buckets, shuffle=False,
+        "return_date", buckets,
     )
     # The dimensions and the spend table are projections of one source table
     # each (no join): reading them through the mapping costs the same as
@@ -174,13 +189,10 @@ def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
-def register_views(tables: Tables, marts: bool = True, only_named_in: str | None = None) -> list[str]:
-    """Register the raw tables under their own names and the (lazily defined)
-    mart views with a ``v_`` prefix, as temp views, so SQL text can name them. With ``only_named_in``, a mart view is
-    defined only if that SQL text names it. Returns the registered names."""
+def _mart_builders() -> dict:
     from ..operators import marts as m
 
-    builders = {
+    return {
         "v_daily_pnl": m.daily_pnl,
         "v_returns_analytics": m.returns_analytics,
         "v_return_rate": m.return_rate,
@@ -189,14 +201,45 @@ def register_views(tables: Tables, marts: bool = True, only_named_in: str | None
         "v_marketing_efficiency": m.marketing_efficiency,
         "v_store_performance": m.store_performance,
     }
-    names = []
-    for name, df in tables.items():
+
+
+def register_views(tables: Tables, marts: bool = True, replace: bool = False) -> list[str]:
+    """Register the raw tables under their own names and the (lazily defined)
+    mart views with a ``v_`` prefix, as temp views, so SQL text can name them.
+    A view or table of the session with such a name is not replaced unless
+    ``replace`` says so: it raises. Returns the registered names."""
+    frames = dict(tables.items()) | ({name: build(tables) for name, build in _mart_builders().items()} if marts else {})
+    taken = [] if replace else [n for n in frames if tables.spark.catalog.tableExists(n)]
+    if taken:
+        raise ValueError(f"the session has these names already: {', '.join(taken)} (replace=True replaces them)")
+    for name, df in frames.items():
         df.createOrReplaceTempView(name)
-        names.append(name)
-    if marts:
-        for name, build in builders.items():
-            if only_named_in is not None and not re.search(rf"\b{name}\b", only_named_in, re.IGNORECASE):
-                continue
-            build(tables).createOrReplaceTempView(name)
-            names.append(name)
-    return names
+    return list(frames)
+
+
+_SKIPPED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
+
+
+def named_sql(tables: Tables, sql_text: str) -> str:
+    """``sql_text`` with the names of the tables (``raw.fact_orders``) and mart
+    views (``marts.v_daily_pnl``) bound to ``tables``: each table it names
+    becomes a temp view with a name of its own, so views of the session are
+    neither replaced nor mistaken. A bare name means our table unless the
+    session has one of that name. Texts in quotes and comments stay."""
+    spark = tables.spark
+    raw, marts = dict(tables.items()), _mart_builders()
+    bound: dict[str, str] = {}
+    pattern = rf"{_SKIPPED}|\b(?:(raw|marts)\s*\.\s*)?({'|'.join([*raw, *marts])})\b"
+
+    def view(m: re.Match) -> str:
+        if not m[2]:
+            return m[0]
+        space, name = (m[1] or "").lower(), m[2].lower()
+        if space and (name in raw) != (space == "raw") or not space and spark.catalog.tableExists(name):
+            return m[0]
+        if name not in bound:
+            bound[name] = f"marginlens_{uuid.uuid4().hex[:10]}_{name}"
+            (raw[name] if name in raw else marts[name](tables)).createOrReplaceTempView(bound[name])
+        return bound[name]
+
+    return re.sub(pattern, view, sql_text, flags=re.IGNORECASE | re.DOTALL)

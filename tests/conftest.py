@@ -63,7 +63,7 @@ def order(
     cogs=300,
     packaging_cost=20,
 ):
-    rev = selling_price * qty if gross_revenue is None else gross_revenue
+    rev = Decimal(str(selling_price)) * qty if gross_revenue is None else gross_revenue
     return (
         order_id,
         day(order_date) if order_date else None,
