@@ -34,9 +34,10 @@ def order_date_range(t: Tables) -> DataFrame:
 
 def pk_violations(t: Tables) -> DataFrame:
     """Q25: per table, each declared key value that repeats, and the NULL key
-    if present, with its row count. Grouping by the key is partial-aggregated
-    per task; on the bucketed facts it needs no shuffle at all. The result
-    holds only violating keys."""
+    if present, with its row count. Orders are bucketed by their key, so
+    they are counted without a shuffle; returns are bucketed by order id, so
+    their key (unique but for violations) shuffles one row per return, which
+    an exact check needs. The result holds only violating keys."""
     parts = []
     for name, key in PRIMARY_KEYS.items():
         df = getattr(t, name)

@@ -31,7 +31,17 @@ def shared_view(fn):
     return build
 
 
-def returns_per_order(t: Tables, *keys: str) -> DataFrame:
+def returns_of(t: Tables, orders: DataFrame | None) -> DataFrame:
+    """The returns of the given orders (all returns without ``orders``): the
+    returns are cut down to a window's or a category's orders before anything
+    is aggregated. A return may be dated before its order in bad data, so its
+    own date can't stand in for this."""
+    if orders is None:
+        return t.fact_returns
+    return t.fact_returns.join(orders.select("order_id"), "order_id", "left_semi")
+
+
+def returns_per_order(t: Tables, *keys: str, orders: DataFrame | None = None) -> DataFrame:
     """Returns pre-aggregated per order id (and any extra return columns):
     count, refund and reverse logistics in integer cents (``refund_c``,
     ``rev_log_c``, ``n``).
@@ -40,8 +50,9 @@ def returns_per_order(t: Tables, *keys: str) -> DataFrame:
     in orders and m times in returns meets one row instead of m, yet every
     sum and count over the joined pairs is the same (each order row carries
     its order's totals). On the bucketed facts this aggregation runs inside
-    the scan's partitions, with no shuffle."""
-    return t.fact_returns.groupBy("order_id", *keys).agg(
+    the scan's partitions, with no shuffle. With ``orders`` only the returns
+    of those orders are aggregated."""
+    return returns_of(t, orders).groupBy("order_id", *keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(cents("refund_amount")).alias("refund_c"),
         F.sum(cents("reverse_logistics_cost")).alias("rev_log_c"),

@@ -6,8 +6,9 @@ an explicit date: the parquet scan gets the window as a pushed filter and
 skips the row groups outside it (facts are sorted by date inside each
 bucket). A Column may be passed instead, e.g. a scalar subquery.
 
-Every window query filters the fact rows to the window *before* grouping,
-so only the window's rows are read, shuffled and aggregated.
+Every window query filters the order rows to the window *before* grouping,
+and cuts the returns down to those orders' before they are aggregated: the
+returns are read, but only the window's are joined and summed.
 """
 
 from __future__ import annotations
@@ -60,8 +61,9 @@ def daily_sums(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     one row per order row), so one aggregation yields both sides; refunds are
     booked on the order's date. The reference joins the two daily sides on
     the date with ``=``, so the NULL-date group gets no refunds (``dated``)."""
+    returns = returns_per_order(t, orders=orders)
     orders = t.fact_orders if orders is None else orders
-    j = orders.join(returns_per_order(t), "order_id", "left")
+    j = orders.join(returns, "order_id", "left")
     dated = F.col("order_date").isNotNull()
     return j.groupBy("order_date").agg(
         money_sum("gross_revenue").alias("revenue"),
@@ -97,7 +99,7 @@ def baseline_compare(t: Tables, target_date=None) -> DataFrame:
     before it (not over 7). An empty window gives no row; a window of one day
     gives NULL means. Means are exact: (sum - today) / (n - 1).
     """
-    w = daily_kpi_window(t, target_date)
+    w = daily_kpis(t, _window_orders(t, target_day(t, target_date)))
     metrics = ("revenue", "orders", "contribution_margin")
     agg = w.agg(
         F.max("order_date").alias("date"),
@@ -157,6 +159,10 @@ def insights_payload(t: Tables, target_date=None) -> DataFrame:
     to 2; order counts truncated to integers), the category movers and the
     day's top reasons as record lists, and all of it as one JSON text.
 
+    The date is the day asked for; the numbers of "today" are the last day
+    present in the window, as in ``baseline_compare``. A window without orders
+    gives no row. Fields without a value are in the JSON as null.
+
     The lists are bounded by the number of categories and by 3; they enter
     the row as scalar subqueries, so nothing is joined or collected.
     """
@@ -184,7 +190,7 @@ def insights_payload(t: Tables, target_date=None) -> DataFrame:
         return round_half_up(as_double(c) / LAKH, 2)
 
     row = base.select(
-        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        F.date_format(d, "yyyy-MM-dd").alias("date"),
         lakhs("revenue_today").alias("revenue_today_lakhs"),
         lakhs("revenue_7d_avg").alias("revenue_7d_avg_lakhs"),
         F.col("orders_today").cast("bigint").alias("orders_today"),
@@ -194,7 +200,42 @@ def insights_payload(t: Tables, target_date=None) -> DataFrame:
         movers_list.alias("category_movers"),
         reasons_list.alias("top_return_reasons_today"),
     )
-    return row.withColumn("payload_json", F.to_json(F.struct(*[F.col(c) for c in row.columns])))
+    fields = F.struct(*[F.col(c) for c in row.columns])
+    return row.withColumn("payload_json", F.to_json(fields, {"ignoreNullFields": "false"}))
+
+
+def insights_fields(t: Tables, target_date=None) -> DataFrame:
+    """Q19 in flat form: one row (path, text, num) per field of the payload,
+    list entries numbered from 0. Text fields have ``text``, numbers ``num``."""
+    none_text, none_num = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def field(path: Column, text: Column = none_text, num: Column = none_num) -> Column:
+        return F.struct(path.alias("path"), text.alias("text"), num.cast("double").alias("num"))
+
+    def entries(name: str, texts: tuple[str, ...], nums: tuple[str, ...]) -> Column:
+        def one(entry: Column, i: Column) -> Column:
+            head = F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]."))
+            parts = [field(F.concat(head, F.lit(c)), text=entry[c]) for c in texts]
+            return F.array(*parts, *[field(F.concat(head, F.lit(c)), num=entry[c]) for c in nums])
+
+        return F.flatten(F.transform(name, one))
+
+    heads = [field(F.lit("date"), text=F.col("date"))]
+    for c in (
+        "revenue_today_lakhs",
+        "revenue_7d_avg_lakhs",
+        "orders_today",
+        "orders_7d_avg",
+        "contribution_margin_today_lakhs",
+        "contribution_margin_7d_avg_lakhs",
+    ):
+        heads.append(field(F.lit(c), num=F.col(c)))
+    every = F.concat(
+        F.array(*heads),
+        entries("category_movers", ("category",), ("today_rev", "avg_rev", "delta_pct")),
+        entries("top_return_reasons_today", ("return_reason",), ("n",)),
+    )
+    return insights_payload(t, target_date).select(F.explode(every).alias("f")).select("f.path", "f.text", "f.num")
 
 
 def daily_kpi_snapshot(t: Tables, target_date=None) -> DataFrame:

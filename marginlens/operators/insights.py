@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import as_double, div0, gross_margin, merge_on_keys, money_sum, safe_ratio
+from ..functions.measures import as_double, div0, exact_mean, gross_margin, merge_on_keys, money_sum, safe_ratio
 from ..sources.tables import Tables
-from .marts import PARITY_CHANNELS, channel_asp, daily_pnl, return_rate, sku_profitability
+from .marts import daily_pnl, return_rate, sku_profitability
 
 ONLINE, OFFLINE = "online", "offline"
 OFFLINE_CHANNEL = "OFFLINE"
@@ -49,12 +49,13 @@ def channel_cm_per_spend(t: Tables) -> DataFrame:
         .groupBy("channel")
         .agg(money_sum("marketing_spend").alias("marketing_spend"))
     )
-    total = t.fact_orders.agg(money_sum("gross_revenue").alias("total")).scalar()
+    # The total is a window over the grouped rows, one per channel.
+    pnl = pnl.select("*", F.sum("gross_revenue").over(Window.partitionBy()).alias("_total"))
     j = merge_on_keys(["channel"], pnl, spend)
     return j.select(
         "channel",
         "gross_revenue",
-        safe_ratio("gross_revenue", total).alias("revenue_share"),
+        safe_ratio("gross_revenue", "_total").alias("revenue_share"),
         "contribution_margin",
         "marketing_spend",
         div0("contribution_margin", "marketing_spend").alias("cm_per_spend"),
@@ -63,7 +64,8 @@ def channel_cm_per_spend(t: Tables) -> DataFrame:
 
 def category_channel_margin(t: Tables) -> DataFrame:
     """Q29: return rate next to gross and post-return margin per category x
-    channel (the return-rate heatmap with its margins)."""
+    channel (the return-rate heatmap with its margins). Each side reads the
+    orders and the returns once."""
     keys = ["category", "channel"]
     pnl = daily_pnl(t).groupBy(*keys).agg(
         F.sum("gross_revenue").alias("gross_revenue"),
@@ -119,25 +121,25 @@ def cost_waterfall(t: Tables) -> DataFrame:
 
 
 def underpriced_skus(t: Tables) -> DataFrame:
-    """Q31 (definition ours): SKUs sold on two or more of the six channels,
-    with the spread between their dearest and cheapest mean channel price
-    over the channels actually present (NULL-safe, unlike the parity view's
-    sentinels), and the cheapest channel (ties go to the first channel name).
-
-    One hash aggregation per sku (the parity view's conditional means); the
-    present channels are then ranked inside each row by array functions, so
-    no second aggregation or sort over sku x channel rows is needed."""
+    """Q31 (definition ours): SKUs sold on two or more channels, whatever
+    their names, with the spread between their dearest and cheapest mean
+    channel price over the channels present (NULL-safe, unlike the parity
+    view's sentinels), and the cheapest channel (ties go to the first channel
+    name). Rows without a channel have none to rank.
+
+    Prices are averaged per sku and channel, then the channels of a sku are
+    ranked by ordinary aggregates (the cheapest is the least (price, name))."""
     keys = ["sku_id", "category", "mrp"]
-    g = t.fact_orders.groupBy(*keys).agg(*[channel_asp(ch).alias(name) for ch, name in PARITY_CHANNELS])
-    present = F.filter(
-        F.array(*[F.struct(F.col(name).alias("asp"), F.lit(ch).alias("channel")) for ch, name in PARITY_CHANNELS]),
-        lambda s: s["asp"].isNotNull(),
+    per_channel = (
+        t.fact_orders.where(F.col("channel").isNotNull())
+        .groupBy(*keys, "channel")
+        .agg(exact_mean("selling_price").alias("asp"))
+        .where(F.col("asp").isNotNull())
     )
-    ranked = g.select(*keys, present.alias("p")).select(
-        *keys,
-        F.size("p").cast("long").alias("n_channels"),
-        F.array_max(F.transform("p", lambda s: s["asp"])).alias("max_asp"),
-        F.array_min("p").alias("cheapest"),
+    ranked = per_channel.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_channels"),
+        F.max("asp").alias("max_asp"),
+        F.min(F.struct("asp", "channel")).alias("cheapest"),
     )
     return (
         ranked.where(F.col("n_channels") >= 2)

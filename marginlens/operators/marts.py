@@ -45,6 +45,10 @@ SPREAD_EMPTY = 99999
 
 @shared_view
 def pnl_groups(t: Tables) -> DataFrame:
+    return pnl_groups_of(t)
+
+
+def pnl_groups_of(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Order and return sums per order_date x city x channel x category, in
     one pass over the order fact.
 
@@ -58,10 +62,12 @@ def pnl_groups(t: Tables) -> DataFrame:
 
     On the bucketed facts the join and the distinct count of order ids run
     inside the scan's partitions; the one shuffle is of the partial
-    aggregates on the four keys.
+    aggregates on the four keys. With ``orders`` (a part of the order fact)
+    only their returns are aggregated.
     """
     keys = PNL_KEYS
-    j = t.fact_orders.join(returns_per_order(t), "order_id", "left")
+    returns = returns_per_order(t, orders=orders)
+    j = (t.fact_orders if orders is None else orders).join(returns, "order_id", "left")
     attached = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return j.groupBy(*keys).agg(
         F.countDistinct("order_id").alias("order_count"),
@@ -80,10 +86,14 @@ def pnl_groups(t: Tables) -> DataFrame:
 
 @shared_view
 def daily_pnl(t: Tables) -> DataFrame:
+    return daily_pnl_of(t)
+
+
+def daily_pnl_of(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Q01: order_date x city x channel x category P&L waterfall, from gross
     revenue at MRP down to contribution margin (refunds booked on the order's
     date and attributes, not the return's)."""
-    j = pnl_groups(t)
+    j = pnl_groups(t) if orders is None else pnl_groups_of(t, orders)
     refund = zero_if_null("refund_value")
     rev_log = zero_if_null("reverse_logistics")
     cm = contribution_margin("gross_revenue", refund, "marketplace_commission", "cogs", "packaging", "logistics", rev_log)
@@ -139,10 +149,12 @@ def returns_analytics(t: Tables) -> DataFrame:
 def return_rate(t: Tables, keys: tuple[str, ...] = ("category", "channel")) -> DataFrame:
     """Q03: distinct orders, distinct returns and their ratio per group.
 
-    Written as two single-distinct aggregations merged on the group key
-    rather than two distinct counts over one joined frame (which Spark
-    expands row-wise). The order side deduplicates on (keys, order_id):
-    with orders bucketed by order_id that step needs no shuffle.
+    One pass over each fact: distinct (keys, order id) pairs meet distinct
+    (order id, return id) pairs, and the first return of each order is marked.
+    Orders are then a plain sum of first rows, so only the return ids need a
+    distinct count (two distinct counts would make Spark expand every row).
+    The pairs deduplicate and join inside the order_id buckets; the exact
+    distinct count shuffles the returned rows on (keys, return id).
     """
     if tuple(keys) == ("category", "channel"):
         return _return_rate_cc(t)
@@ -157,23 +169,17 @@ def _return_rate_cc(t: Tables) -> DataFrame:
 def _return_rate(t: Tables, keys: tuple[str, ...]) -> DataFrame:
     """Distinct orders, distinct returns and their ratio per group of ``keys``."""
     keys = list(keys)
-    # Distinct (keys, order id) and (order id, return id) pairs first: both
-    # deduplicate inside the order_id buckets, and the join between them
-    # stays linear even if an order id repeats on both sides.
-    # Rows of ``orders`` are distinct (keys, order id) pairs, so counting
-    # non-NULL ids per group is the distinct count.
     orders = t.fact_orders.select(*keys, "order_id").distinct()
-    total = orders.groupBy(*keys).agg(F.count("order_id").alias("total_orders"))
-    returned = (
-        t.fact_returns.select("order_id", "return_id")
-        .distinct()
-        .join(orders, "order_id")
+    pairs = t.fact_returns.select("order_id", "return_id").distinct()
+    least = F.min("return_id").over(Window.partitionBy("order_id"))
+    returns = pairs.select("order_id", "return_id", F.col("return_id").eqNullSafe(least).alias("first"))
+    counted = F.col("order_id").isNotNull() & F.coalesce("first", F.lit(True))
+    g = (
+        orders.join(returns, "order_id", "left")
         .groupBy(*keys)
-        .agg(F.countDistinct("return_id").alias("returned_orders"))
+        .agg(F.sum(counted.cast("long")).alias("total_orders"), F.countDistinct("return_id").alias("returned_orders"))
     )
-    j = merge_on_keys(keys, total, returned)
-    ret = zero_if_null("returned_orders")
-    return j.select(*keys, "total_orders", ret.alias("returned_orders"), div0(ret, "total_orders").alias("return_rate"))
+    return g.select(*keys, "total_orders", "returned_orders", div0("returned_orders", "total_orders").alias("return_rate"))
 
 
 def channel_asp(channel: str):

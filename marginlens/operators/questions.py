@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import money_sum
-from ..sources.catalog import register_views
+from ..sources.catalog import named_sql
 from ..sources.tables import Tables
 from .common import month_start, order_rows_per_key, returns_per_order
 from .dashboard import channel_revenue
-from .marts import daily_pnl, return_rate
+from .marts import daily_pnl_of, return_rate
 
 
 def _restrict(t: Tables, cond: Column) -> Tables:
@@ -39,7 +39,7 @@ def cm_category_channel_month(t: Tables, category: str, channel: str, month: str
     """Q36: contribution margin of one category on one channel in one month
     (one row; NULL margin when nothing sold)."""
     cond = (F.col("category") == category) & (F.col("channel") == channel) & _in_month(month)
-    agg = daily_pnl(_restrict(t, cond)).agg(F.sum("contribution_margin").alias("contribution_margin"))
+    agg = daily_pnl_of(t, t.fact_orders.where(cond)).agg(F.sum("contribution_margin").alias("contribution_margin"))
     return agg.select(
         F.lit(category).alias("category"),
         F.lit(channel).alias("channel"),
@@ -77,12 +77,13 @@ def return_rate_pair(t: Tables, category: str, channel: str) -> DataFrame:
     return return_rate(_restrict(t, cond))
 
 
-def adhoc_sql(t: Tables, sql_text: str, limit: int = 20) -> DataFrame:
-    """Q41: run SQL text over the registered tables and mart views; return a
-    preview of the first ``limit`` rows (the preview is the feature)."""
-    spark = t.spark
-    register_views(t, only_named_in=sql_text)
-    return spark.sql(sql_text).limit(limit)
+def adhoc_sql(t: Tables, sql_text: str, limit: int | None = None) -> DataFrame:
+    """Q41: run SQL text over the tables (``fact_orders`` or
+    ``raw.fact_orders``) and mart views (``v_daily_pnl`` or
+    ``marts.v_daily_pnl``) and return its whole result; with ``limit`` a
+    preview of that many rows."""
+    out = t.spark.sql(named_sql(t, sql_text))
+    return out if limit is None else out.limit(limit)
 
 
 __all__ = [

@@ -16,6 +16,7 @@ from pyspark.sql.types import DecimalType
 
 from ..operators import checks, daily, dashboard, insights, marts, questions
 from ..sources.catalog import load_test_tables
+from ..sources.csv import csv_totals
 from ..sources.tables import Tables
 
 
@@ -28,10 +29,12 @@ class QuerySpec:
 
 
 # Parameters of the sample questions, chosen to exist in the test tables.
+# It gives a row per month and channel, several hundred.
 ADHOC_SQL = (
-    "SELECT channel, CAST(SUM(contribution_margin) AS DOUBLE) AS contribution_margin, "
+    "SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, channel, "
+    "CAST(SUM(contribution_margin) AS DOUBLE) AS contribution_margin, "
     "CAST(SUM(returns_count) AS BIGINT) AS returns_count "
-    "FROM v_daily_pnl GROUP BY channel ORDER BY contribution_margin DESC, channel"
+    "FROM marts.v_daily_pnl GROUP BY 1, 2 ORDER BY month, channel"
 )
 
 SPECS: tuple[QuerySpec, ...] = (
@@ -53,7 +56,7 @@ SPECS: tuple[QuerySpec, ...] = (
     QuerySpec("baseline_compare", daily.baseline_compare),
     QuerySpec("category_movers", daily.category_movers),
     QuerySpec("return_reasons_on_day", daily.return_reasons_on_day),
-    QuerySpec("insights_payload", daily.insights_payload),
+    QuerySpec("insights_payload", daily.insights_fields),
     QuerySpec("daily_kpi_snapshot", daily.daily_kpi_snapshot),
     QuerySpec("max_order_date", daily.max_order_date),
     QuerySpec("table_counts", checks.table_counts),
@@ -79,7 +82,8 @@ SPECS: tuple[QuerySpec, ...] = (
     QuerySpec("lowest_commission_channel", questions.lowest_commission_channel),
     QuerySpec("top_reasons_category", questions.top_reasons_category, {"category": "STANDARD", "k": 3}),
     QuerySpec("return_rate_pair", questions.return_rate_pair, {"category": "LARGE", "channel": "AJIO"}),
-    QuerySpec("adhoc_sql", questions.adhoc_sql, {"sql_text": ADHOC_SQL, "limit": 20}),
+    QuerySpec("csv_totals", csv_totals),
+    QuerySpec("adhoc_sql", questions.adhoc_sql, {"sql_text": ADHOC_SQL}),
 )
 
 BY_NAME = {s.name: s for s in SPECS}

@@ -101,6 +101,41 @@ def test_insights_payload_matches_its_parts(spark):
     assert [m["category"] for m in payload["category_movers"]] == ["Jeans", "Shirts"]
 
 
+def test_insights_payload_of_a_day_without_orders(spark):
+    """The date is the day asked for; the numbers are the last day present."""
+    orders = [order("A", order_date="2024-01-07", selling_price=250000), order("B", order_date="2023-06-01", category="Idle")]
+    t = make_tables(spark, orders=orders, returns=[ret("R1", "A", return_date="2024-01-08")])
+    (p,) = rows(daily.insights_payload(t, "2024-01-08"))
+    payload = json.loads(p["payload_json"])
+    assert p["date"] == payload["date"] == "2024-01-08"
+    assert payload["revenue_today_lakhs"] == 2.5 and payload["revenue_7d_avg_lakhs"] is None
+    idle = next(m for m in payload["category_movers"] if m["category"] == "Idle")
+    assert idle == {"category": "Idle", "today_rev": 0.0, "avg_rev": 0.0, "delta_pct": None}
+    assert payload["top_return_reasons_today"] == [{"return_reason": "Size issue", "n": 1}]
+    assert rows(daily.insights_payload(t, "2025-01-01")) == []
+
+
+def test_insights_fields_are_the_json(spark):
+    rs = [ret(f"R{i}", "x", return_date=TARGET, reason=r) for i, r in enumerate(["Size issue", "Late delivery", "Late delivery"])]
+    t = make_tables(spark, orders=_window_orders(), returns=rs)
+    (p,) = rows(daily.insights_payload(t, TARGET))
+    flat = {}
+
+    def walk(at, value):
+        if isinstance(value, list):
+            for i, v in enumerate(value):
+                walk(f"{at}[{i}]", v)
+        elif isinstance(value, dict):
+            for k, v in value.items():
+                walk(f"{at}.{k}" if at else k, v)
+        else:
+            flat[at] = value
+
+    walk("", json.loads(p["payload_json"]))
+    got = {r["path"]: r["num"] if r["text"] is None else r["text"] for r in rows(daily.insights_fields(t, TARGET))}
+    assert got == flat
+
+
 def test_reason_share_vs_prior_days(spark):
     rs = [
         ret("a", "x", return_date=TARGET, reason="Size issue"),

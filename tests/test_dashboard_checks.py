@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from conftest import D, make_tables, order, ret, rows
 
 from marginlens.operators import checks, dashboard, insights, questions
+from marginlens.sources.catalog import register_views
 
 
 def test_kpi_summary_counts_orphan_returns(spark):
@@ -165,9 +167,27 @@ def test_questions(spark):
     assert low["channel"] in {"FLIPKART", "MYNTRA"}
 
 
-def test_adhoc_sql_preview(spark):
-    t = make_tables(spark, orders=[order(f"O{i}") for i in range(30)])
-    got = rows(questions.adhoc_sql(t, "SELECT order_id FROM fact_orders ORDER BY order_id"))
-    assert len(got) == 20
+def test_adhoc_sql_returns_its_whole_result(spark):
+    t = make_tables(spark, orders=[order(f"O{i}") for i in range(50)])
+    text = "SELECT order_id FROM fact_orders ORDER BY order_id"
+    assert len(rows(questions.adhoc_sql(t, text))) == 50
+    assert len(rows(questions.adhoc_sql(t, text, limit=20))) == 20
     (v,) = rows(questions.adhoc_sql(t, "SELECT SUM(order_count) AS n FROM v_daily_pnl"))
-    assert v["n"] == 30
+    assert v["n"] == 50
+
+
+def test_adhoc_sql_with_qualified_names_keeps_the_session_views(spark):
+    t = make_tables(spark, orders=[order("O1", sku_id="S1")], skus=[("S1", "Shirts", D(9), D(3), D(1))])
+    spark.sql("SELECT 7 AS order_count").createOrReplaceTempView("v_daily_pnl")
+    try:
+        text = """SELECT p.order_count, s.sku_id, 'raw.dim_sku' AS said -- marts.v_daily_pnl
+                  FROM MARTS.v_daily_pnl p JOIN raw . DIM_SKU s ON s.category = p.category"""
+        assert rows(questions.adhoc_sql(t, text)) == [{"order_count": 1, "sku_id": "S1", "said": "raw.dim_sku"}]
+        assert rows(questions.adhoc_sql(t, "SELECT order_count FROM v_daily_pnl")) == [{"order_count": 7}]
+        with pytest.raises(ValueError, match="v_daily_pnl"):
+            register_views(t)
+        names = register_views(t, replace=True)
+        assert rows(spark.sql("SELECT order_count FROM v_daily_pnl")) == [{"order_count": 1}]
+    finally:
+        for name in set(names) | {"v_daily_pnl"}:
+            spark.catalog.dropTempView(name)

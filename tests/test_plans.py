@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import SF_SMALL
 
@@ -83,3 +85,33 @@ def test_no_fact_shuffle_or_cartesian_join(t, no_broadcast, name):
     plan = _plan(registry.apply(t, name))
     assert "Exchange hashpartitioning(order_id" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize(
+    ("name", "orders", "returns"),
+    [
+        ("return_rate", 1, 1),
+        ("category_return_rate", 1, 1),
+        ("top_return_category", 1, 1),
+        ("return_rate_pair", 1, 1),
+        ("channel_cm_per_spend", 1, 1),
+        ("category_channel_margin", 2, 2),
+    ],
+)
+def test_scans_of_the_facts(t, no_broadcast, name, orders, returns):
+    plan = _plan(registry.apply(t, name))
+    assert len(re.findall(r"FileScan parquet .*order_lines\[", plan)) == orders
+    assert len(re.findall(r"FileScan parquet .*fact_returns\[", plan)) == returns
+
+
+@pytest.mark.parametrize("name", ["daily_kpi_window", "baseline_compare", "daily_kpi_snapshot", "insights_payload", "cm_category_channel_month"])
+def test_returns_are_cut_down_before_they_are_aggregated(t, no_broadcast, name):
+    """Between the returns' scan and the first aggregate stands the semi join."""
+    plan = _plan(registry.apply(t, name)).split("\n")
+    scans = [i for i, line in enumerate(plan) if "fact_returns[order_id" in line and "refund_amount" in line]
+    assert scans
+    for i in scans:
+        above = plan[:i]
+        joins = [k for k, line in enumerate(above) if "LeftSemi" in line]
+        aggregates = [k for k, line in enumerate(above) if re.search(r"HashAggregate\(keys=\[order_id", line)]
+        assert joins and aggregates and max(joins) > max(aggregates)
