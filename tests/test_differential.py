@@ -18,7 +18,7 @@ from marginlens.plans import registry
 from marginlens.plans.oracle import query_sql_over_tables
 
 CITIES = ["Mumbai", "Delhi", None]
-CHANNELS = ["D2C_APP", "D2C_WEB", "MYNTRA", "FLIPKART", "AJIO", "OFFLINE", None]
+CHANNELS = ["D2C_APP", "D2C_WEB", "MYNTRA", "FLIPKART", "AJIO", "OFFLINE", None, "KIOSK"]  # KIOSK is in no fixed list
 CATEGORIES = ["PROMO", "STANDARD", "LARGE", "Jeans", None]
 REASONS = ["Size issue", "Quality not as expected", "Late delivery", None]
 
