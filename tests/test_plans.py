@@ -10,6 +10,7 @@ from conftest import SF_SMALL
 from marginlens.operators import daily, marts
 from marginlens.plans import registry
 from marginlens.sources.catalog import load_test_tables
+from tools.scale_audit import allowed, audit
 
 
 @pytest.fixture(scope="module")
@@ -82,9 +83,18 @@ def test_return_day_filter_reaches_the_scan(t):
 
 @pytest.mark.parametrize("name", [s.name for s in registry.SPECS])
 def test_no_fact_shuffle_or_cartesian_join(t, no_broadcast, name):
-    plan = _plan(registry.apply(t, name))
-    assert "Exchange hashpartitioning(order_id" not in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    found = audit(_plan(registry.apply(t, name)))
+    assert allowed(name, found), found
+
+
+def test_the_audit_sees_what_it_looks_for(t, no_broadcast):
+    o, r = t.fact_orders, t.fact_returns
+    assert audit(_plan(o.repartition(3, "city")))["fact"]
+    assert audit(_plan(o.join(r.withColumnRenamed("return_id", "sku_id"), "sku_id")))["fact"]
+    assert audit(_plan(r.groupBy("return_id").count()))["distinct"]
+    assert audit(_plan(o.crossJoin(r)))["cartesian"]
+    grouped = audit(_plan(o.groupBy("city").count()))
+    assert [k for k, _ in grouped["exchanges"]] == ["grouped"]
 
 
 @pytest.mark.parametrize(
