@@ -96,9 +96,10 @@ def category_return_rate(t: Tables) -> DataFrame:
 
 
 def channel_cm_pct(t: Tables) -> DataFrame:
-    """Q12: contribution margin as % of gross revenue per channel, rounded to
-    one decimal, with a sign label. Returns are summed per order first, so an
-    order with two returns counts its revenue once."""
+    """Q12 (definition ours): contribution margin as % of gross revenue per
+    channel, rounded to one decimal, with a sign label. Returns are summed per
+    order first, so an order with two returns counts its revenue once; the
+    reference counts it once per return."""
     j = t.fact_orders.select(
         "order_id", "channel", "gross_revenue", "commission", "cogs", "packaging_cost", "logistics_cost"
     ).join(returns_per_order(t), "order_id", "left")

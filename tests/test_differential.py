@@ -15,6 +15,7 @@ import pytest
 from conftest import make_tables
 
 from marginlens.plans import registry
+from marginlens.plans import oracle
 from marginlens.plans.oracle import query_sql_over_tables
 
 CITIES = ["Mumbai", "Delhi", None]
@@ -126,3 +127,14 @@ def test_random_tables_match_oracle(fixture, name):
     drows = sorted(tuple(_norm(r[c]) for c in cols) for r in d_tab.to_pylist())
     for a, b in zip(srows, drows):
         assert all(_close(x, y) for x, y in zip(a, b)), (cols, a, b)
+
+
+def test_output_helpers_agree_with_the_built_ins(fixture):
+    """The statements' own mean and rounding against AVG and ROUND."""
+    _, con = fixture
+    mean, amount = oracle.exact_mean("selling_price"), "CAST(gross_revenue AS DOUBLE)"
+    rows = con.sql(f"SELECT {mean}, AVG(selling_price) FROM fact_orders GROUP BY channel").fetchall()
+    rows += con.sql(f"SELECT {oracle.round_half_up(amount + ' / 7', 2)}, ROUND({amount} / 7, 2) FROM fact_orders").fetchall()
+    assert len(rows) > 100
+    for ours, theirs in rows:
+        assert ours == pytest.approx(theirs, rel=1e-12, abs=1e-9)
