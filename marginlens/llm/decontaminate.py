@@ -33,7 +33,6 @@ _NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
 _NUMBER = r"(?<![\p{L}\p{N}])\d[\d.,:/]*(?![\p{L}\p{N}])"
 _UNIT = rf"(?<=xnumx )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _DROPPED = r"[^\p{L}\p{N}\p{M}\s]+"
-_SLOTS = "xn[ua]m[xe]x?|xunitx"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -69,17 +68,17 @@ def windows(texts: DataFrame, id_name: str, window: int) -> DataFrame:
 
     def one(i: Column) -> Column:
         w = F.slice("w", i + 1, window)
-        slots = F.when(F.col("as_written").isNotNull() & F.exists(w, _is_slot), F.slice("as_written", i + 1, window))
+        slots = F.when(F.col("as_written").isNotNull(), F.when(F.exists(w, _is_slot), F.slice("as_written", i + 1, window)))
         return F.struct(i.alias("pos"), F.xxhash64(w).alias("hash"), slots.alias("slots"))
 
     many = F.transform(F.sequence(F.lit(0), last), one)
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("w", F.lit("whole")).alias("hash"), F.col("as_written").alias("slots")))
-    parts = parts.where(F.size("w") > 0).select(
-        id_name,
-        F.greatest(last + 1, F.lit(1)).alias("n"),
-        F.explode(F.when(last >= 0, many).otherwise(whole)).alias("at"),
-    )
-    return parts.select(id_name, "n", "at.pos", "at.hash", "at.slots")
+    # The outer form: for the plain one Spark infers a filter on the array's
+    # size, and computes every window twice.
+    at = F.explode_outer(F.when(last >= 0, many).when(F.size("w") > 0, whole))
+    # The count is a column beforehand, or every row would carry the words along.
+    parts = parts.withColumn("n", F.greatest(last + 1, F.lit(1))).select(id_name, "n", at.alias("at"))
+    return parts.where(F.col("at").isNotNull()).select(id_name, "n", "at.pos", "at.hash", "at.slots")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8) -> DataFrame:
