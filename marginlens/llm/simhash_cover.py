@@ -172,8 +172,7 @@ def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     if of.where(F.col("component_id").isNull()).isEmpty():
         return kept
     # Rows without id: one of each component that has no id at all.
-    lone = of.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fingerprint").alias("fingerprint")).select("fingerprint")
-    nameless = docs.where(F.col("doc_id").isNull())
-    udf = F.udf(lambda t: f"{fingerprint(t, shingle):016x}", "string")
-    marked = nameless.withColumn("__fp", udf("text")).join(lone, F.col("__fp") == F.col("fingerprint"), "left_semi")
+    lone = of.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fingerprint").alias("__fp")).select("__fp")
+    own = F.udf(lambda t: f"{fingerprint(t, shingle):016x}", "string", useArrow=True)
+    marked = docs.where(F.col("doc_id").isNull()).withColumn("__fp", own("text")).join(lone, "__fp", "left_semi")
     return kept.unionByName(marked.dropDuplicates(["__fp"]).drop("__fp"))
