@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +74,22 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes (a
+    longer row is a part of its own)."""
+    wide = -(-batch.nbytes // max(batch.num_rows, 1)) * min(rows, batch.num_rows) > size
+    if not wide or "text" not in batch.schema.names:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, n in enumerate(lengths):
+        if i > at and (held + n > size or i - at == rows):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
