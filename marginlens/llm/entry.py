@@ -70,6 +70,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+# DuckDB's expressions have no look-behind: a pattern with the place before it
+# as a group is applied twice, as a match takes the place of the next one.
+_TWICE = "regexp_replace(regexp_replace({0}, '{1}', '{2}', 'g'), '{1}', '{2}', 'g')"
+_TYPED = _TWICE.format(
+    _TWICE.format("text", r"([\p{Ll},;] )\p{Lu}\p{Ll}+", r"\1xnamex"),
+    r"(^|[^\p{L}\p{N}])\d[\d.,:/]*([^\p{L}\p{N}]|$)",
+    r"\1xnumx\2",
+)
+_UNITS = _TWICE.format("plain", rf"(xnumx )(?:{'|'.join(decontaminate.UNITS)})([^\p{{L}}\p{{N}}]|$)", r"\1xunitx\2")
+OP3_SQL = rf"""
+WITH texts AS (
+  SELECT 'doc' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  UNION ALL
+  SELECT 'item', item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), plains AS (
+  SELECT side, id, lower(regexp_replace({_TYPED}, '[^\p{{L}}\p{{N}}\p{{M}}\s]+', '', 'g')) AS plain,
+         lower(regexp_replace(text, '[^\p{{L}}\p{{N}}\p{{M}}\s]+', '', 'g')) AS raw FROM texts
+), words AS (
+  SELECT side, id, [x FOR x IN string_split_regex({_UNITS}, '\s+') IF x <> ''] AS w,
+         [x FOR x IN string_split_regex(raw, '\s+') IF x <> ''] AS r FROM plains
+), windows AS (
+  SELECT side, id, greatest(len(w) - 4, 1) AS n, i AS pos, w[i + 1:i + 5] || CASE WHEN len(w) < 5 THEN ['whole'] ELSE [] END AS key,
+         CASE WHEN len(list_intersect(w[i + 1:i + 5], ['xnamex', 'xnumx', 'xunitx'])) > 0 THEN r[i + 1:i + 5] END AS slots
+  FROM (SELECT *, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)
+), pairs AS (
+  SELECT d.id AS doc_id, b.id AS item_id, b.n AS windows, d.pos - b.pos AS shift, b.pos AS item_pos, b.slots AS a, d.slots AS b
+  FROM windows d JOIN windows b ON d.key = b.key AND d.side = 'doc' AND b.side = 'item'
+), slots AS (
+  SELECT doc_id, item_id, shift, count(DISTINCT {{'a': x, 'b': y}}) AS ab, count(DISTINCT x) AS a, count(DISTINCT y) AS b
+  FROM (SELECT doc_id, item_id, shift, unnest(a) AS x, unnest(b) AS y FROM pairs WHERE a IS NOT NULL) GROUP BY ALL
+), hits AS (
+  SELECT doc_id, item_id, windows, shift, count(DISTINCT item_pos) AS matched FROM pairs GROUP BY ALL
+  HAVING count(DISTINCT item_pos) >= windows * 0.8
+)
+SELECT h.doc_id, h.item_id, max(matched) AS matched, CAST(windows AS INTEGER) AS windows,
+       CAST(arg_min(h.shift, {{'m': -matched, 's': h.shift}}) AS INTEGER) AS pos
+FROM hits h LEFT JOIN slots s ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.shift = h.shift
+WHERE s.ab IS NULL OR (s.ab = s.a AND s.ab = s.b)
+GROUP BY h.doc_id, h.item_id, windows
+"""
+
 OP8_SQL = """
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -110,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_url_filter": OP8_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 
 from marginlens.llm import decontaminate as d
@@ -92,6 +93,25 @@ def test_long_text_and_many_repeats(spark, make_docs):
     assert [r["pos"] for r in rows if r["doc_id"] == 1] == [100_000]
 
 
+def test_whole_table_against_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = con.execute(entry.ORACLE_SQL["op3_decontamination"]).fetchall()
+    got = [tuple(r) for r in entry.op3_decontamination(spark, SF).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_copies_against_sql(spark, make_docs, items, tmp_path):
+    docs = make_docs([(i, t) for i, (t, _) in enumerate(CASES.values())])
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items.select("item_id", "text"))):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = con.execute(entry.ORACLE_SQL["op3_decontamination"]).fetchall()
+    assert sorted(tuple(r) for r in d.contaminated(docs, items).collect()) == sorted(want)
+
+
 def test_main_path_is_native(spark):
     plan = entry.op3_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

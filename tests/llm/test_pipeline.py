@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -84,3 +85,29 @@ def test_run_and_empty_tables(spark, steps, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     got = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {(r["doc_id"], r["ids_sha256"]) for r in steps[5].collect()}
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, make_docs, tmp_path):
+    fine = "plain words stand here in a fine order and nothing else is said of them at all"
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(1, 60)]
+    rows += [(i, "### $$$ %%% &&& " * (3 + i % 5)) for i in range(60, 100)]
+    rows += [(1, rows[0][1]), (200, None), (201, ""), (None, f"{fine} without an id"), (None, None)]
+    rows += [(300, "the token = 'abcdef0123456789' " + fine), (301, "long " * 60_000)]
+    clash = [f"{i} AS {c}" for i, c in enumerate("score x n s quality ids fp fingerprint root component_id hash pos slots item_id spans base rule".split())]
+    docs = make_docs(rows).selectExpr("*", *clash)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(1, 100)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, rows[1][1]), (None, fine), (2, None), (3, "")], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = out, saved(stage(spark, out, str(tmp_path)), f"edge-{name}")
+        assert name == "tokens" or out.columns == docs.columns
+        empty = stage(spark, before.limit(0), str(tmp_path))
+        assert empty.count() == 0 and set(empty.columns) == set(out.columns)
+    left = [r["doc_id"] for r in out.collect()]
+    assert 2 not in left  # the benchmark's item
+    assert left.count(1) == 1 and 3 in left and 300 in left
+    assert not set(range(60, 100)) & set(left)
