@@ -106,7 +106,8 @@ class Scanner:
     def text(self, text: str | None, reach: int = 400) -> Iterator[Found]:
         """The licenses of a text. Each cue is tried in its line, or the part
         of it within ``reach``, then with the lines around it within ``reach``."""
-        if not text:
+        low = (text or "").lower()
+        if not any(cue in low for cue in CUES):
             return
         done = -1
         for m in _CUE.finditer(text):
