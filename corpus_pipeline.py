@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginlens.llm import bpe_codec, decontaminate, entry, quality, secret_scan, simhash_cover
-from marginlens.llm.common import shared_dir, table
+from marginlens.llm.common import scratch, shared_dir, table
 
 # No SQL: the stages hold a fitted model, a compressor and a tokenizer.
 ORACLE_SQL = None
@@ -60,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what the stage saved on its way
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
 from marginlens.llm import bpe_codec, decontaminate, entry, quality, secret_scan, simhash_cover
-from marginlens.llm.common import saved, table
+from marginlens.llm.common import saved, shared_dir, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,6 +88,13 @@ def test_run_and_empty_tables(spark, steps, tmp_path):
     assert got == {(r["doc_id"], r["ids_sha256"]) for r in steps[5].collect()}
 
 
+def test_run_leaves_only_the_stages_tables(spark):
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert len(new) == 5 and all(x.startswith("pipeline-") for x in new)
+
+
 def test_stages_with_nulls_repeats_and_clashing_columns(spark, make_docs, tmp_path):
     fine = "plain words stand here in a fine order and nothing else is said of them at all"
     rng = random.Random(2)
