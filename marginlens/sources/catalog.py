@@ -38,7 +38,7 @@ SORT_KEYS = {"fact_orders": "order_date", "fact_returns": "return_date"}
 
 _lock = threading.Lock()
 _loaded: dict[tuple[str, str], Tables] = {}
-_written: dict[str, list[tuple[str, str]]] = {}  # by application: (table, path)
+_written: dict[str, list[tuple[str | None, str]]] = {}  # by application: (table or None, path)
 
 
 def storage_root(spark: SparkSession) -> str:
@@ -105,11 +105,19 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, table: str, s
         .option("path", path)
         .saveAsTable(table)
     )
-    app = spark.conf.get("spark.app.id", "") or str(id(spark))
-    _written.setdefault(app, []).append((table, path))
+    note_written(spark, path, table)
     return spark.table(table)
 
 
+def _app(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", "") or str(id(spark))
+
+
+def note_written(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Remember files, and the table over them, for ``release``."""
+    _written.setdefault(_app(spark), []).append((table, path))
+
+
 def materialize(spark: SparkSession, tables: Tables, root: str, buckets: int | None = None) -> Tables:
     """Write the five tables under ``root`` and return them read back.
 
@@ -144,7 +152,7 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
     """
     if not materialize_tables:
         return testdata.build_tables(spark, sf_dir)
-    key = (spark.conf.get("spark.app.id", "") or str(id(spark)), os.path.abspath(sf_dir))
+    key = (_app(spark), os.path.abspath(sf_dir))
     with _lock:
         if key in _loaded:
             return _loaded[key]
@@ -153,13 +161,14 @@ def load_test_tables(spark: SparkSession, sf_dir: str, materialize_tables: bool
 
 
 def release(spark: SparkSession) -> None:
-    """Drop the fact tables this session wrote, and their files."""
-    app = spark.conf.get("spark.app.id", "") or str(id(spark))
+    """Drop the fact tables and CSV copies this session wrote, and their files."""
+    app = _app(spark)
     with _lock:
         for key in [k for k in _loaded if k[0] == app]:
             del _loaded[key]
         for name, path in _written.pop(app, []):
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

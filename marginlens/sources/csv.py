@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import money_sum
-from .catalog import storage_root
+from .catalog import note_written, storage_root
 from .schemas import SCHEMAS
 from .tables import Tables
 
@@ -74,6 +74,7 @@ def csv_totals(t: Tables) -> DataFrame:
     revenue by channel, returns and refunds by reason."""
     at = f"{storage_root(t.spark)}/marginlens/csv-{uuid.uuid4().hex[:10]}"
     write_csv_dir(t, at)
+    note_written(t.spark, at)
     parts = []
     for reader, typed in (("typed", True), ("inferred", False)):
         own = load_csv_dir(t.spark, at, typed)
