@@ -10,6 +10,9 @@ slots agree: each value the item has in a placeholder stands for one value in
 the document and the reverse, so a re-parameterised copy counts and a mere
 likeness of form doesn't.
 
+That is the rule of ``contaminated``, which SQL restates. ``drop_contaminated``
+also drops near copies (``near_copies``).
+
 An item with fewer words than a window matches documents whose whole template
 is the same. Null and empty texts have no template and match nothing; null
 ids take no part. Repeated documents or items are judged one by one and give
@@ -18,7 +21,7 @@ one row per pair of ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Units that may follow a number (fixed values).
@@ -44,9 +47,9 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def template(text: Column) -> Column:
+def template(text: Column, name: str = _NAME) -> Column:
     """The canonical words of a text, in order, as one string."""
-    typed = F.regexp_replace(F.regexp_replace(text, _NAME, "xnamex"), _NUMBER, "xnumx")
+    typed = F.regexp_replace(F.regexp_replace(text, name, "xnamex"), _NUMBER, "xnumx")
     plain = _plain(typed)
     return F.when(F.contains(plain, F.lit("xnumx ")), F.regexp_replace(plain, _UNIT, "xunitx")).otherwise(plain)
 
@@ -55,13 +58,13 @@ def _is_slot(word: Column) -> Column:
     return word.isin("xnamex", "xnumx", "xunitx")
 
 
-def windows(texts: DataFrame, id_name: str, window: int) -> DataFrame:
+def windows(texts: DataFrame, id_name: str, window: int, name: str = _NAME) -> DataFrame:
     """(id, n, pos, hash, slots): the windows of each template. ``slots`` holds
     the words as written, where the window has a placeholder, else null."""
     has_slot = F.col("plain").rlike("xnamex|xnumx|xunitx")
     parts = (
         texts.where(F.col(id_name).isNotNull() & F.col("text").isNotNull())
-        .select(id_name, F.col("text").alias("raw"), template(F.col("text")).alias("plain"))
+        .select(id_name, F.col("text").alias("raw"), template(F.col("text"), name).alias("plain"))
         .select(id_name, _words(F.col("plain")).alias("w"), F.when(has_slot, _words(_plain(F.col("raw")))).alias("as_written"))
     )
     last = F.size("w") - window
@@ -81,10 +84,9 @@ def windows(texts: DataFrame, id_name: str, window: int) -> DataFrame:
     return parts.where(F.col("at").isNotNull()).select(id_name, "n", "at.pos", "at.hash", "at.slots")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, matched, windows, pos): one row per document and item
-    it contains; the alignment with the most matched windows, then the first."""
-    own = windows(items.select("item_id", "text"), "item_id", window)
+def _matches(docs: DataFrame, items: DataFrame, window: int, name: str = _NAME) -> DataFrame:
+    """(doc_id, item_id, windows, item_pos, shift, slots): every window the two have in common."""
+    own = windows(items.select("item_id", "text"), "item_id", window, name)
     own = own.select("item_id", F.col("n").alias("windows"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
     # The windows of the benchmark go to every executor while they are few;
     # beyond that both sides are shuffled on the hash.
@@ -93,28 +95,64 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: floa
     # Only the slots' own values are carried on: (place in item, item's word, document's word).
     pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     place = F.transform(pair, lambda p, i: F.struct((i + F.col("item_pos")).alias("at"), p["a"].alias("a"), p["b"].alias("b")))
-    found = (
-        windows(docs.select("doc_id", "text"), "doc_id", window)
+    return (
+        windows(docs.select("doc_id", "text"), "doc_id", window, name)
         .join(own, "hash")
         .select("doc_id", "item_id", "windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), place.alias("slots"))
     )
+
+
+def _consistent() -> Column:
+    """Each value of the item stands for one value of the document and the reverse."""
+    values = F.transform("slots", lambda s: F.struct(s["a"], s["b"]))
+    return (F.size(F.array_distinct(values)) == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))) & (
+        F.size(F.array_distinct(values)) == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
+    )
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, matched, windows, pos): one row per document and item
+    it contains; the alignment with the most matched windows, then the first."""
+    found = _matches(docs, items, window)
     grouped = found.groupBy("doc_id", "item_id", "windows", "shift").agg(
         F.count_distinct("item_pos").alias("matched"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    values = F.transform("slots", lambda s: F.struct(s["a"], s["b"]))
-    consistent = (F.size(F.array_distinct(values)) == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))) & (
-        F.size(F.array_distinct(values)) == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
-    )
-    hits = grouped.where((F.col("matched") >= F.col("windows") * share) & consistent)
+    hits = grouped.where((F.col("matched") >= F.col("windows") * share) & _consistent())
     best = F.max(F.struct(F.col("matched"), (-F.col("shift")).alias("back")))
     return hits.groupBy("doc_id", "item_id", "windows").agg(best.alias("best")).select(
         "doc_id", "item_id", F.col("best.matched").alias("matched"), "windows", (-F.col("best.back")).alias("pos")
     )
 
 
+def near_copies(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8, band: int = 8, least: int = 8, run: int = 13) -> DataFrame:
+    """(doc_id, item_id), distinct: documents that hold an item with words put
+    in, left out or replaced, or a long passage of it. At alignments whose slots agree, a hit has
+
+    * ``share`` of the item's windows at one alignment, or
+    * ``share`` of the item's words, and at least ``least``, covered by windows
+      at alignments up to ``band`` words apart from one in their middle, or
+    * ``run`` words of the item in a row at one alignment.
+    """
+    runs = (
+        _matches(docs, items, window)
+        .groupBy("doc_id", "item_id", "windows", "shift")
+        .agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+        .where(_consistent())
+        .drop("slots")
+    )
+    near = Window.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-band, band)
+    around = F.array_distinct(F.flatten(F.collect_list("at").over(near)))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(around, lambda p: F.sequence(p, p + window - 1)))))
+    long = run - window  # from the first to the last window of a run
+    row = F.exists("at", lambda p: F.array_contains("at", p + long) & (F.size(F.filter("at", lambda q: (q >= p) & (q <= p + long))) == long + 1))
+    words = F.col("windows") + window - 1
+    hit = (F.size("at") >= F.col("windows") * share) | row | ((F.col("covered") >= words * share) & (F.col("covered") >= least))
+    return runs.withColumn("covered", covered).where(hit).select("doc_id", "item_id").distinct()
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, columns as they are, that contain no item. Rows
-    with a null id can't be named by the search and are kept."""
-    bad = contaminated(docs, items, window, share).select("doc_id").distinct()
+    """The rows of ``docs``, columns as they are, that contain no item and no
+    near copy of one. Rows with a null id can't be named by the search and are kept."""
+    bad = contaminated(docs, items, window, share).select("doc_id").unionByName(near_copies(docs, items, window, share).select("doc_id")).distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

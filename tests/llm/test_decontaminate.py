@@ -115,3 +115,26 @@ def test_copies_against_sql(spark, make_docs, items, tmp_path):
 def test_main_path_is_native(spark):
     plan = entry.op3_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def _with(text, old, new):
+    assert old in text
+    return text.replace(old, new, 1)
+
+
+NEAR = {
+    "a word more": (_with(ITEM, "45 km", "about 45 km"), True),
+    "a word less": (_with(ITEM, "old ", ""), True),
+    "a longer name": (_with(ITEM, "Anna", "Mary Ann"), True),
+    "a longer number": (_with(ITEM, "30", "thirty five"), True),
+    "a passage": ("He read that " + " ".join(ITEM.split()[3:19]) + " and closed the book", True),
+    "too short a passage": ("He read that " + " ".join(ITEM.split()[3:13]) + " and closed the book", False),
+    "other": (CASES["other"][0], False),
+}
+
+
+def test_near_copies_go(spark, make_docs):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = make_docs([(i, "Some words first. " + t + ". And more of it.") for i, (t, _) in enumerate(NEAR.values())])
+    left = {r["doc_id"] for r in d.drop_contaminated(docs, items).collect()}
+    assert left == {i for i, (_, hit) in enumerate(NEAR.values()) if not hit}
