@@ -32,6 +32,7 @@ UNITS = (
     "liters litre litres pound pounds inch inches foot feet degree degrees"
 ).split()
 
+_ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
 _NUMBER = r"(?<![\p{L}\p{N}])\d[\d.,:/]*(?![\p{L}\p{N}])"
 _UNIT = rf"(?<=xnumx )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
@@ -127,7 +128,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: floa
 
 def near_copies(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8, band: int = 8, least: int = 8, run: int = 13) -> DataFrame:
     """(doc_id, item_id), distinct: documents that hold an item with words put
-    in, left out or replaced, or a long passage of it. At alignments whose slots agree, a hit has
+    in, left out or replaced, or a long passage of it. Capitalised words are
+    names wherever they stand. At alignments whose slots agree, a hit has
 
     * ``share`` of the item's windows at one alignment, or
     * ``share`` of the item's words, and at least ``least``, covered by windows
@@ -135,7 +137,7 @@ def near_copies(docs: DataFrame, items: DataFrame, window: int = 5, share: float
     * ``run`` words of the item in a row at one alignment.
     """
     runs = (
-        _matches(docs, items, window)
+        _matches(docs, items, window, _ANY_NAME)
         .groupBy("doc_id", "item_id", "windows", "shift")
         .agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
         .where(_consistent())

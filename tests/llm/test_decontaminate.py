@@ -138,3 +138,11 @@ def test_near_copies_go(spark, make_docs):
     docs = make_docs([(i, "Some words first. " + t + ". And more of it.") for i, (t, _) in enumerate(NEAR.values())])
     left = {r["doc_id"] for r in d.drop_contaminated(docs, items).collect()}
     assert left == {i for i, (_, hit) in enumerate(NEAR.values()) if not hit}
+
+
+def test_names_at_sentence_starts_go(spark, make_docs):
+    tom = "Tom has 12 apples. Tom gives 5 apples to a friend. How many are left for Tom now?"
+    short = "Which river flows through the town?"
+    items = spark.createDataFrame([(1, tom), (2, short)], "item_id long, text string")
+    docs = make_docs([(1, tom.replace("Tom", "Sam")), (2, "he asked them Which river flows through the town? and left"), (3, "he asked them which river flows through the town? and left"), (4, "he asked which river it was")])
+    assert [r["doc_id"] for r in d.drop_contaminated(docs, items).collect()] == [4]
