@@ -58,3 +58,30 @@ def test_edge_rows(spark, make_docs):
     rows = [(r["doc_id"], r["license"]) for r in s.licenses(docs).collect()]
     assert sorted(rows, key=str) == [(3, "CC-BY"), (3, "CC-BY"), (None, "MIT")]
     assert s.licenses(docs.limit(0)).count() == 0
+
+
+TWO = "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+FREE = s.TEMPLATES[5][1]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (TWO, ["MIT", "Apache"]),
+        ("some words " + TWO.replace(". ", " and then, some words later on, ") + " " + "w " * 300, ["MIT", "Apache"]),
+        ("x\n" + FREE.replace(" and/or ", " and/or\n") + "\nReleased under the MIT License.", ["GPL", "MIT"]),
+        (" ".join(t for _, t in s.TEMPLATES), [n for n, _ in s.TEMPLATES]),
+        ("Licensed under CC BY-ND 4.0.", []),
+        ("Licensed under CC BY-NC-ND 4.0.", []),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", []),
+    ],
+)
+def test_every_notice_of_a_block(scanner, text, names):
+    found = list(scanner.text(text))
+    assert [f.name for f in found] == names
+    assert all(a.end <= b.start for a, b in zip(found, found[1:]))
+
+
+def test_spans_are_the_words_own(scanner):
+    text = "é x " + TWO + " y"
+    assert [text[f.start : f.end] for f in scanner.text(text)] == ["Licensed under the MIT License", "Licensed under the Apache License, Version 2.0"]
