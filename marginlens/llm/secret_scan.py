@@ -5,8 +5,8 @@ long hexadecimal strings. The method adds strings in a sensitive context that
 the compressor can't explain: a zstandard compressor, primed with a
 dictionary of identifiers and prose, compresses the surroundings with and
 without the candidate; the marginal bytes per character tell random strings
-from names, paths and words, even long ones. Candidates that overlap a span
-of the fixed patterns are not reported again.
+from names, paths and words, even long ones. Candidates that lie within a
+span of the fixed patterns are not reported again.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Spans of
 one text are ordered by start, then kind in the order of ``KINDS``.
@@ -15,6 +15,7 @@ one text are ordered by start, then kind in the order of ``KINDS``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -39,7 +40,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Words that make a context sensitive, and what the compressor knows beforehand (fixed values).
-CONTEXT = "password passwd passphrase pwd secret token apikey api_key api-key credential credentials private_key access_key auth bearer signature".split()
+CONTEXT = "password passwd passphrase pwd secret token apikey api_key api-key credential credentials private_key access_key auth bearer signature".split() + ["private key", "access key"]
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 true false null none undefined example sample changeme "
     "placeholder your_password_here your-token-here my_secret_key xxxxxxxxxxxxxxxx ---------------- ________________ "
@@ -51,8 +52,9 @@ IDENTIFIERS = (
     "the and for that with this from have not are was which their would there about other into than then them these some"
 ).encode()
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-_SENSITIVE = re.compile("|".join(_either_case(w) for w in CONTEXT))
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")  # a name and its value are two
+_ASSIGNED = re.compile(r"""["']?\s*[:=]""")
+_SENSITIVE = re.compile("(?:" + "|".join(_either_case(w) for w in CONTEXT) + r")[A-Za-z0-9_]*")
 
 
 class Novelty:
@@ -69,7 +71,9 @@ class Novelty:
     def __call__(self, text: str, start: int, end: int) -> float:
         before = text[max(0, start - self.around) : start].encode("utf-8", "replace")
         after = text[end : end + self.around].encode("utf-8", "replace")
-        own = text[start:end].encode("utf-8", "replace")
+        own = text[start:end]
+        # The dictionary is in lower case: so are names in capitals alone.
+        own = (own.lower() if own.isupper() else own).encode("utf-8", "replace")
         more = len(self.packer.compress(before + own + after)) - len(self.packer.compress(before + after))
         return more / max(len(own), 1)
 
@@ -87,21 +91,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float, reach: int) -> list[tuple[int, int, str]]:
+    """Candidates that start within ``reach`` behind a sensitive word, or end
+    within ``reach`` before one, or hold one; names that hold the word are of it."""
+    cues = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in cues], [e for _, e in cues]
     out = []
-    done = -1
-    for hint in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(hint.end(), done), min(len(text), hint.end() + reach)):
-            start, end = m.span()
-            if end == hint.end() + reach:  # cut by the reach: take the whole string
-                end = _CANDIDATE.match(text, start).end()
-            if start < done:
-                continue
-            done = end
-            if any(s < end and start < e for s, e, _ in base):
-                continue
-            kinds = (any(c.isdigit() for c in text[start:end]), any(c.isalpha() for c in text[start:end]))
-            if all(kinds) and novelty(text, start, end) >= least:
-                out.append((start, end, "novel"))
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        i = bisect_right(starts, start) - 1  # the last cue that starts before it
+        near = (i >= 0 and start <= ends[i] + reach) or (i + 1 < len(starts) and starts[i + 1] - end <= reach)
+        if not near or any(s <= start and end <= e for s, e, _ in base):
+            continue
+        if i >= 0 and starts[i] == start and ends[i] == end and _ASSIGNED.match(text, end):
+            continue  # the name of what follows
+        if novelty(text, start, end) >= least:
+            out.append((start, end, "novel"))
     return out
 
 

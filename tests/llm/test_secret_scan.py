@@ -80,3 +80,29 @@ def test_redaction_and_edge_rows(spark, make_docs):
     assert {(r["doc_id"], r["t"]) for r in out} == {(1, None), (None, "x [assign]'. é [access]"), (2, ""), (2, "clean")}
     assert s.secrets(docs.limit(0)).count() == 0
     assert s.redact("abcdef", [(1, 3, "a"), (2, 5, "b")]) == "a[a]f"
+
+
+RANDOM = "xK9dQ2mZ7pL4vT8sR1wB6yN3"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"credentials were rotated this morning, the new value is {RANDOM}",
+        f"{RANDOM} is from now on the passphrase of all",
+        f"CREDENTIALS_OF_THE_PRODUCTION_ENVIRONMENT_IN_THE_EAST_REGION: {RANDOM}",
+        "the passphrase is xKqdQwmZzpLbvTysRnwB for now",
+        f"-----BEGIN RSA PRIVATE KEY-----\n{RANDOM}\n-----END RSA PRIVATE KEY-----",
+        f"the access key of the bucket is {RANDOM} here",
+        "credential AbZ/" + "9f86d081884c7d659a2feaa0c55ad015" + "+Q9xK7pLmZ here",
+    ],
+)
+def test_every_candidate_near_a_cue(text):
+    found = s.scan(text, s.Novelty())
+    want = max(re.findall(r"[A-Za-z0-9+/]{16,}", text), key=lambda w: s.Novelty()(text, text.index(w), text.index(w) + len(w)))
+    assert want not in s.redact(text, found) and [text[a:b] for a, b, k in found if k == "novel"] == [want]
+
+
+def test_words_near_a_cue_stay():
+    text = "the credentials of internationalization and responsibilities lie in /usr/share/documentation/readme.html"
+    assert s.scan(text, s.Novelty()) == []
