@@ -8,7 +8,7 @@ words. The piece probabilities are fitted by expectation maximisation
 
 Words are maximal runs of letters, lower-cased; each starts with the
 vocabulary's word mark. Characters that are no piece of their own share one
-unknown piece. Longer pieces than ``MAX_PIECE`` characters are left out.
+unknown piece. Pieces are looked up by a 64-bit hash.
 
 The fit may use a sample: of more than ``fit_rows`` training rows about
 ``fit_rows`` are taken, by a hash of the id. Every text is scored whole.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from marginlens.llm.common import saved, slices
 
 PIECES = "piece_bpe_32k.model"
-MAX_PIECE = 5  # 12 bits a character: a piece is one 64-bit integer
+MAX_PIECE = 16  # the longest piece of the vocabulary: none is left out
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -46,7 +46,7 @@ _MARK = "▁"
 @dataclass(frozen=True)
 class Vocabulary:
     """code: 0 for characters that are no piece, else from 1. keys[l], ids[l]: the sorted
-    packed pieces of l characters. Piece 0 is none, piece 1 the unknown character."""
+    hashed pieces of l characters. Piece 0 is none, piece 1 the unknown character."""
 
     code: np.ndarray
     keys: list[np.ndarray]
@@ -58,25 +58,33 @@ class Vocabulary:
 def vocabulary(path: str) -> Vocabulary:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    texts = [t for t in dict.fromkeys(texts) if len(t) <= MAX_PIECE and t == t.lower()]
-    single = sorted({c for t in texts for c in t if (c.isalpha() or c == _MARK) and ord(c) < 0x11000})[: (1 << 12) - 1]
+    texts = [t for t in dict.fromkeys(texts) if t == t.lower()]
+    single = sorted({c for t in texts for c in t if c.isalpha() or c == _MARK})
     code = np.zeros(0x110000, np.int64)
     code[[ord(c) for c in single]] = np.arange(1, len(single) + 1)
     known = set(single)
+    if max((len(t) for t in texts if set(t) <= known), default=0) > MAX_PIECE:
+        raise ValueError(f"a piece is longer than {MAX_PIECE} characters")
     keys, ids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 2
     for n in range(1, MAX_PIECE + 1):
         own = sorted(_packed([code[ord(c)] for c in t]) for t in texts if len(t) == n and set(t) <= known)
+        if len(set(own)) < len(own):
+            raise ValueError("two pieces have one hash")
         keys.append(np.array(own, np.int64))
         ids.append(np.arange(size, size + len(own)))
         size += len(own)
     return Vocabulary(code, keys, ids, size)
 
 
+_FACTOR = 0x9E3779B97F4A7C15  # odd: a product modulo 2^64 loses nothing
+
+
 def _packed(codes) -> int:
     out = 0
     for c in codes:
-        out = out << 12 | int(c)
-    return out
+        out = (out * _FACTOR + int(c)) & 0xFFFFFFFFFFFFFFFF
+        out ^= out >> 29
+    return out - (1 << 64) if out >> 63 else out
 
 
 class Lattice:
@@ -94,19 +102,23 @@ class Lattice:
         codes = vocab.code[np.frombuffer(flat.encode("utf-32-le"), np.uint32)]
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(words) else self.length
         self.piece = []
-        key = np.zeros(len(codes), np.int64)
-        bad = np.zeros(len(codes), bool)
+        room = np.repeat(self.start + self.length, self.length) - np.arange(len(codes))
+        at = np.flatnonzero(codes)
+        key = codes[at].astype(np.uint64)
+        key ^= key >> np.uint64(29)
         for n in range(1, MAX_PIECE + 1):
-            end = len(codes) - n + 1
-            if end <= 0:
-                self.piece.append(np.zeros(len(codes), np.int64))
-                continue
-            key = key[:end] << 12 | codes[n - 1 :]
-            bad = bad[:end] | (codes[n - 1 :] == 0)
+            if n > 1:  # what starts here and has n known characters in its word
+                more = room[at] >= n
+                at, key = at[more], key[more]
+                next_code = codes[at + n - 1]
+                at, key, next_code = at[next_code > 0], key[next_code > 0], next_code[next_code > 0]
+                key = key * np.uint64(_FACTOR) + next_code.astype(np.uint64)
+                key ^= key >> np.uint64(29)
             got = np.zeros(len(codes), np.int64)
-            if len(vocab.keys[n]):
-                at = np.minimum(np.searchsorted(vocab.keys[n], key), len(vocab.keys[n]) - 1)
-                got[:end] = np.where((vocab.keys[n][at] == key) & ~bad, vocab.ids[n][at], 0)
+            if len(vocab.keys[n]) and len(at):
+                signed = key.view(np.int64)
+                place = np.minimum(np.searchsorted(vocab.keys[n], signed), len(vocab.keys[n]) - 1)
+                got[at] = np.where(vocab.keys[n][place] == signed, vocab.ids[n][place], 0)
             if n == 1:
                 got[got == 0] = 1
             self.piece.append(got)
@@ -126,8 +138,12 @@ class Lattice:
             total = np.zeros((m, width))
             for size in range(1, min(MAX_PIECE, j) + 1):
                 pieces = self.piece[size - 1][self.start[:m] + j - size]
-                p = prob[pieces] if column is None else prob[pieces, column[:m]][:, None]
-                total += steps[j - size][:m] * p
+                hit = np.flatnonzero(pieces)  # long pieces are few
+                if not len(hit):
+                    continue
+                pieces = pieces[hit]
+                p = prob[pieces] if column is None else prob[pieces, column[hit]][:, None]
+                total[hit] += steps[j - size][hit] * p
             if not keep and j % 8 == 0:  # keep the numbers away from zero
                 top = np.max([s[:m] for s in steps[-MAX_PIECE:]] + [total], axis=0)
                 total /= top
@@ -163,11 +179,15 @@ def expected(words: list[str], lang: np.ndarray, n: np.ndarray, prob: np.ndarray
         beta[j][done:m] = 1.0
         for k in range(1, min(MAX_PIECE, j) + 1):
             pieces = lattice.piece[k - 1][lattice.start[:m] + j - k]
-            p = prob[pieces, lang[:m]] * beta[j]
+            hit = np.flatnonzero(pieces)
+            if not len(hit):
+                continue
+            pieces, own = pieces[hit], lang[hit]
+            p = prob[pieces, own] * beta[j][hit]
             with np.errstate(divide="ignore", invalid="ignore"):
-                share = np.where(whole[:m] > 0, alpha[j - k][:m, 0] * p / whole[:m], 0.0)
-            np.add.at(out, (pieces, lang[:m]), share * n[:m])
-            beta[j - k][:m] += p
+                share = np.where(whole[hit] > 0, alpha[j - k][hit, 0] * p / whole[hit], 0.0)
+            np.add.at(out, (pieces, own), share * n[hit])
+            beta[j - k][hit] += p
     out[0] = 0
     return out
 

@@ -106,3 +106,17 @@ def test_edge_rows(spark, make_docs):
     none = lang_id.learn(docs.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in lang_id.predict(docs, none).collect()} == {"und"}
     assert lang_id.predict(docs.limit(0), model).count() == 0
+
+
+def test_no_letter_piece_is_left_out():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    want = {t for t in pieces if t == t.lower() and all(c.isalpha() or c == lang_id._MARK for c in t)}
+    vocab = lang_id.vocabulary(PATH)
+    assert "translation" in want and vocab.size == len(want) + 2
+    lattice = lang_id.Lattice(["translation"], vocab)
+    whole = lattice.piece[len("translation") - 1][1]
+    code = lang_id._packed([int(vocab.code[ord(c)]) for c in "translation"])
+    assert whole and vocab.ids[11][vocab.keys[11].tolist().index(code)] == whole
