@@ -164,15 +164,25 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """One row of each component, columns as they are: the row with the
-    smallest id; of repeated rows with that id, one. A component of null ids
+    smallest id; of repeated rows with that id in the component, one. An id on
+    rows of different components stays with each it names. A component of null ids
     only keeps all its rows of one fingerprint's root as a single row."""
     of = saved(near_duplicates(docs, shingle, radius), "simhash-kept")
-    keep = of.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = F.udf(lambda t: f"{fingerprint(t, shingle):016x}", "string", useArrow=True)
+    first = of.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id").agg(F.min("fingerprint").alias("__fp"))
+    # Only rows whose id stands on several fingerprints are fingerprinted again.
+    unlike = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a <> b").select("doc_id")
+    if unlike.isEmpty():
+        kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    else:
+        unlike = saved(unlike, "simhash-unlike")
+        alike = first.join(unlike, "doc_id", "left_anti").select("doc_id")
+        kept = docs.join(alike, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        several = docs.join(unlike, "doc_id", "left_semi").withColumn("__fp", own("text")).join(first, ["doc_id", "__fp"], "left_semi")
+        kept = kept.unionByName(several.dropDuplicates(["doc_id", "__fp"]).drop("__fp"))
     if of.where(F.col("component_id").isNull()).isEmpty():
         return kept
     # Rows without id: one of each component that has no id at all.
     lone = of.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fingerprint").alias("__fp")).select("__fp")
-    own = F.udf(lambda t: f"{fingerprint(t, shingle):016x}", "string", useArrow=True)
     marked = docs.where(F.col("doc_id").isNull()).withColumn("__fp", own("text")).join(lone, "__fp", "left_semi")
     return kept.unionByName(marked.dropDuplicates(["__fp"]).drop("__fp"))

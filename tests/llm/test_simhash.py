@@ -107,3 +107,10 @@ def test_null_empty_repeated_and_extra_columns(spark, make_docs):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, "only here now"), (2, ""), (8, "a b c d e f")]
     assert simhash_cover.near_duplicates(docs.limit(0), 4, 4).count() == 0
     assert simhash_cover.keep_one(docs.limit(0), 4, 4).count() == 0
+
+
+def test_one_id_on_unlike_texts_keeps_each(spark, make_docs):
+    a, b = "a b c d e f g h", "quite another text of other words altogether, and long enough"
+    docs = make_docs([(1, a), (1, b), (1, a), (2, b), (3, "the third text has nothing in common with them")])
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash_cover.keep_one(docs, 4, 4).collect())
+    assert kept == [(1, a), (1, b), (3, "the third text has nothing in common with them")]
