@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bpe_codec, decontaminate, lang_id, license_scan, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
+from marginlens.llm import bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
 from marginlens.llm.common import held_out, learned, table
 
 URL_RULES = [
@@ -70,6 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def merkle_rows(docs: DataFrame, bits: int = merkle_manifest.BLOCK_BITS) -> DataFrame:
+    """The manifest of ``docs``, verified against a tampered table: n_chars of
+    the rows whose id's crc32 7 divides is one more there (a null stays)."""
+    changed = {"n_chars": (F.col("n_chars").cast("decimal(20,0)") + 1)}
+    fields = [changed.get(c, F.col(c)) for c in merkle_manifest.FIELDS]
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle_manifest.leaf(fields))
+    return merkle_manifest.verified(merkle_manifest.manifest(docs, carry={"claim": claim}, bits=bits), "claim")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and verification of every row of ``documents``
+    (see ``merkle_manifest`` for nulls, repeats and empty tables)."""
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
 # DuckDB's expressions have no look-behind: a pattern with the place before it
 # as a group is applied twice, as a match takes the place of the next one.
 _TWICE = "regexp_replace(regexp_replace({0}, '{1}', '{2}', 'g'), '{1}', '{2}', 'g')"
@@ -149,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_secret_scan,
         op10_quality,
+        op12_merkle,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_url_filter": OP8_SQL}
