@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
+from marginlens.llm import bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, prefix_trie, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
 from marginlens.llm.common import held_out, learned, table
 
 URL_RULES = [
@@ -70,6 +70,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of the rebuilt ``conversations`` (see
+    ``prefix_trie`` for nulls, ties, repeats and empty tables)."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def merkle_rows(docs: DataFrame, bits: int = merkle_manifest.BLOCK_BITS) -> DataFrame:
     """The manifest of ``docs``, verified against a tampered table: n_chars of
     the rows whose id's crc32 7 divides is one more there (a null stays)."""
@@ -164,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_secret_scan,
         op10_quality,
+        op11_prefix_trie,
         op12_merkle,
     )
 }
