@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, prefix_trie, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
+from marginlens.llm import bbit_minhash, bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, prefix_trie, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
 from marginlens.llm.common import held_out, learned, table
 
 URL_RULES = [
@@ -91,6 +91,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and kept of every row of ``documents`` (see
+    ``bbit_minhash`` for nulls, short and empty texts, repeats and empty tables)."""
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # DuckDB's expressions have no look-behind: a pattern with the place before it
 # as a group is applied twice, as a match takes the place of the next one.
 _TWICE = "regexp_replace(regexp_replace({0}, '{1}', '{2}', 'g'), '{1}', '{2}', 'g')"
@@ -172,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality,
         op11_prefix_trie,
         op12_merkle,
+        op13_minhash,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_url_filter": OP8_SQL}
