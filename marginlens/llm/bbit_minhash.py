@@ -12,17 +12,18 @@ deviations) go; the others are confirmed on both full sets.
 Equal sets are one row from the start. Buckets aren't expanded to pairs: a
 round compares all members of a bucket with a pivot, merges what is
 confirmed, and drops the buckets whose members are one component by then.
-In the next round each remaining bucket has twice as many pivots. A pivot has
+In the next round each remaining bucket has ``GROWTH`` times as many pivots. A pivot has
 met its whole bucket and leaves it, and pairs within a component are not
 compared, so a bucket of n near copies costs n pairs, and one of unlike
-documents is worked off in about log2(n) rounds. The result is that of all
+documents is worked off in about log(n) / log(GROWTH) rounds. The result is that of all
 pairs. Members meet pivots, and pairs their sets, slice by slice (see
 ``functions.slices``), so neither a large bucket nor a pivot of many pairs is
 one task.
 
 A document with fewer words than a shingle has one shingle, its whole words;
 one without words (null or empty text) has none and links with nothing: its
-component is its own id. Shingles are compared by their XXH64 (seed 0). A null
+component is its own id. Shingles are compared by 64-bit hashes (a word of over
+256 bytes stands in them by its 128-bit digest). A null
 doc_id is never the smallest id of a component; a component of null ids only
 has a null component_id, and its rows are not kept. Repeated rows are kept as
 they come; equal ids on unlike texts are judged each by its own text. Other
@@ -31,7 +32,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,36 +50,67 @@ HASHES = BANDS * ROWS
 LOW_BITS = 4
 LANES = 64 // LOW_BITS
 MARGIN = 0.2
+GROWTH = 8
 
 _rng = np.random.default_rng(20240229)
-_TIMES = _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.integers(0, 2**63, HASHES, np.uint64)
+_TIMES = _rng.integers(0, 2**31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _rng.integers(0, 2**32, (HASHES, 1), np.uint32)
 _BAND = _rng.integers(0, 2**63, BANDS, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_LONG_WORD, _STRETCH = 256, 1 << 14
+_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2**64
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def of(base: int) -> np.ndarray:
+        steps = np.full(1 << bits, base, np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """XXH64 of the distinct shingles, ascending."""
+    """64-bit hashes of the distinct shingles, ascending."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z and ASCII spaces
     if not words:
         return np.zeros(0, np.uint64)
-    flat = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(flat)], np.uint64)
-    stops = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], stops[:-1]])
-    digest = xxhash.xxh64_intdigest
-    ends = (stops[size - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((digest(flat[i:j]) for i, j in zip(starts.tolist(), ends)), np.uint64, len(ends)))
+    if max(map(len, words)) > _LONG_WORD:
+        words = [w if len(w) <= _LONG_WORD else b"\0" + xxhash.xxh3_128_hexdigest(w).encode() for w in words]
+    parts = [_hashes(words[at : at + _STRETCH + size - 1], size) for at in range(0, max(len(words) - size + 1, 1), _STRETCH)]
+    return np.unique(np.concatenate(parts))
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """All shingles of a stretch at once: differences of running polynomial
+    sums over the bytes, brought to a common power and mixed."""
+    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    up, down = _powers(max(16, (len(flat) + 1).bit_length()))
+    stops = np.flatnonzero(flat == 32)
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    last = min(size, len(words)) - 1
+    starts, stops = starts[: len(starts) - last], stops[last:]
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+    x = (sums[stops] - sums[starts]) * down[starts]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 2**32 - 1, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        values = hashes[at : at + 2048, None] * _TIMES
+    """The 32-bit minima, mixed so that their low bits are as good as any."""
+    out = np.full(HASHES, 2**32 - 1, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 512):  # 512 x 160 values stay in a core's cache
+        values = _TIMES * high[None, at : at + 512]
         values += _PLUS
-        np.minimum(out, values.min(0) >> np.uint64(32), out=out)
-    return out
+        np.minimum(out, values.min(1), out=out)
+    out = (out ^ (out >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    return (out ^ (out >> np.uint32(13))).astype(np.uint64)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -165,9 +197,9 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return met.select("pivot", "id", linked.alias("linked"))
 
 
-def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(a, b): links of ids of ``sets`` (id, n, sig, bands, text_key) that connect
-    exactly what all similar pairs connect, the misses named above aside; None without any."""
+def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(id, root) of the linked ids of ``sets`` (id, n, sig, bands, text_key),
+    as all similar pairs connect them, the misses named above aside; None without a common bucket."""
     rows = sets.select("id", F.explode("bands").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     save = lambda df: saved(df, "minhash-members")
@@ -176,16 +208,16 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFram
     spans = everyone.select(SLICE, "bucket").distinct().join(several, "bucket")
     members = saved(everyone.join(spans, [SLICE, "bucket"]).select(SLICE, "bucket", "id", F.col("id").alias("part")), "minhash-members")
     sign = sets.select("id", "n", "sig")
-    found = rejected = full = None
+    found = rejected = full = roots = None
     round_ = 0
     while not members.isEmpty():
-        # One pivot a bucket, the same in all buckets where it can be, and twice as many each round.
+        # One pivot a bucket, the same in all buckets where it can be, and GROWTH times as many each round.
         draw = F.xxhash64(F.lit(round_), F.col("id"))
         sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", draw).alias("chosen"))
         if round_:
             of = members.select(SLICE, "bucket").distinct().join(sizes, "bucket")
             share = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
-            picked = members.join(of, [SLICE, "bucket"]).where((F.col("id") == F.col("chosen")) | (share < (2.0**round_) / F.col("n")))
+            picked = members.join(of, [SLICE, "bucket"]).where((F.col("id") == F.col("chosen")) | (share < (float(GROWTH) ** round_) / F.col("n")))
             pivots = saved(picked.select("bucket", F.col("id").alias("pivot")), "minhash-pivots")
         else:
             pivots = saved(sizes.select("bucket", F.col("chosen").alias("pivot")), "minhash-pivots")
@@ -205,8 +237,9 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFram
         if full is not None:
             ends = ends.join(full.select("id"), "id", "left_anti")
         wanted = saved(ends.join(sets.select("id", "text_key"), "id"), "minhash-wanted")
-        new = saved(_full_sets(docs, wanted, size), "minhash-sets")
-        full = new if full is None else full.unionByName(new)
+        if full is None or not wanted.isEmpty():
+            new = saved(_full_sets(docs, wanted, size), "minhash-sets")
+            full = new if full is None else full.unionByName(new)
         judged = saved(_confirmed(pairs, full, percent), "minhash-judged").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "linked")
         right, wrong = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
         found = right if found is None else found.unionByName(right)
@@ -219,7 +252,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFram
         spans = left.select(SLICE, "bucket").distinct().join(open_, "bucket")
         members = saved(left.join(spans, [SLICE, "bucket"]).select(SLICE, "bucket", "id", "part"), "minhash-members")
         round_ += 1
-    return found
+    return roots
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
@@ -228,10 +261,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
     some = [F.first(c).alias(c) for c in ("n", "sig", "bands")]
     sets = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), *some)
     sets = saved(sets.withColumn("id", F.monotonically_increasing_id()), "minhash-distinct")
-    found = links(docs, sets, size, percent)
+    roots = components(docs, sets, size, percent)
     named = sets.select("set_key", "id", "least")
-    if found is not None:
-        roots = connected_components(found).select(F.col("node").alias("id"), "root")
+    if roots is not None:
         named = saved(named.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "minhash-roots")
         least = named.groupBy("root").agg(F.min("least").alias("component_id"))
         named = named.select("set_key", "root").join(least, "root")

@@ -99,6 +99,14 @@ def test_nulls_empty_short_repeats_and_clashing_columns(spark, make_docs):
     assert bbit_minhash.near_duplicates(table.where("doc_id = 3")).count() == 2
 
 
+def test_shingles_over_stretches_and_long_words():
+    rng = random.Random(2)
+    for n in (1, 3, 4, 5, 300, 16_383, 16_384, 16_390, 40_000):
+        text = " ".join(rng.choice(["A", "b", "é", "\0", "x" * 300, "x" * 301, str(rng.randrange(9999))]) for _ in range(n))
+        assert len(bbit_minhash.shingles(text, 4)) == len(sets_by_definition(text))
+        assert set(bbit_minhash.shingles(f"head of it {text}", 4)) >= set(bbit_minhash.shingles(text, 4)) or n < 4
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.8, 0.95])
 def test_estimate_is_corrected_for_chance(spark, share):
     rng = np.random.default_rng(1)
