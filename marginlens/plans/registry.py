@@ -14,10 +14,11 @@ from typing import Any, Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DecimalType
 
-from ..operators import checks, daily, dashboard, insights, marts, questions
+from ..operators import checks, daily, dashboard, insights, marts, ordered, questions, restate
 from ..sources.catalog import load_test_tables
 from ..sources.csv import csv_totals
 from ..sources.tables import Tables
+from ..streaming import pnl as pnl_stream
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,10 @@ SPECS: tuple[QuerySpec, ...] = (
     QuerySpec("top_reasons_category", questions.top_reasons_category, {"category": "STANDARD", "k": 3}),
     QuerySpec("return_rate_pair", questions.return_rate_pair, {"category": "LARGE", "channel": "AJIO"}),
     QuerySpec("csv_totals", csv_totals),
+    QuerySpec("restated_daily_pnl", restate.restated_daily_pnl),
+    QuerySpec("streamed_daily_pnl", pnl_stream.streamed_daily_pnl),
+    QuerySpec("spend_known_at_order", ordered.spend_known_at_order),
+    QuerySpec("sku_abc", ordered.sku_abc),
     QuerySpec("adhoc_sql", questions.adhoc_sql, {"sql_text": ADHOC_SQL}),
 )
 

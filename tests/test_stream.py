@@ -1,0 +1,78 @@
+"""The streamed P&L: any arrival within the delay gives the batch sums; later lines are counted; replays change nothing."""
+
+from __future__ import annotations
+
+import shutil
+
+import pytest
+from conftest import make_tables, order
+from pyspark.sql import functions as F
+
+from marginlens.operators import marts
+from marginlens.streaming import pnl
+
+DAYS = [f"2024-01-{d:02d}" for d in range(1, 29)]
+
+
+@pytest.fixture()
+def few_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def _run(spark, at, deliveries):
+    t = make_tables(spark, orders=[o for d in deliveries for o in d])
+    schema = t.fact_orders.select(*pnl.LINE).schema
+    paths = [str(at / x) for x in ("landing", "sums", "checkpoint")]
+    for i, orders in enumerate(deliveries):
+        make_tables(spark, orders=orders).fact_orders.select(*pnl.LINE).write.parquet(f"{paths[0]}/delivery-{i}")
+        pnl.advance(spark, *paths, schema)
+    return t, paths, schema
+
+
+def _cells(df, names):
+    return sorted((tuple(r[c] for c in [*pnl.CELL, *names]) for r in df.collect()), key=repr)
+
+
+NAMES = ["units_sold", "gross_mrp", *pnl.AMOUNTS]
+
+
+def test_arrival_order_within_the_delay_does_not_matter(spark, tmp_path, few_partitions):
+    orders = [order(f"O{i}", order_date=d, city=None if i % 5 == 0 else "Delhi") for i, d in enumerate(DAYS)]
+    shuffled = [orders[:6] + orders[9:10], orders[12:14] + orders[6:9], orders[10:12] + orders[14:18]]
+    t, paths, schema = _run(spark, tmp_path, shuffled)
+    got = pnl.taken(spark, paths[0], paths[1], schema)
+    assert _cells(got, NAMES) == _cells(marts.daily_pnl(t), NAMES)
+    assert got.agg(F.sum("late_lines")).first()[0] == 0
+
+
+def test_later_lines_are_counted_and_replays_change_nothing(spark, tmp_path, few_partitions):
+    first = [order("A", order_date="2024-01-20"), order("B", order_date="2024-01-03")]
+    second = [order("C", order_date="2024-01-02"), order("D", order_date="2024-01-03"), order("E", order_date="2024-01-19"), order("F", order_date=None)]
+    t, paths, schema = _run(spark, tmp_path, [first, second])
+    got = {str(r["order_date"]): (r["lines"], r["late_lines"]) for r in pnl.taken(spark, paths[0], paths[1], schema).collect()}
+    assert got == {"2024-01-20": (1, 0), "2024-01-03": (1, 1), "2024-01-02": (0, 1), "2024-01-19": (1, 0), "None": (0, 1)}
+    # A run without new files changes nothing.
+    pnl.advance(spark, *paths, schema)
+    again = {str(r["order_date"]): (r["lines"], r["late_lines"]) for r in pnl.taken(spark, paths[0], paths[1], schema).collect()}
+    assert again == got
+    # As after a failure before the commit: the last batch is run again and overwrites its own folder.
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    keep = tmp_path / "aside"
+    keep.mkdir()
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        if p.exists():
+            shutil.copy(p, keep / p.name)
+            p.unlink()
+    pnl.advance(spark, *paths, schema)
+    again = {str(r["order_date"]): (r["lines"], r["late_lines"]) for r in pnl.taken(spark, paths[0], paths[1], schema).collect()}
+    assert again == got
+
+
+def test_state_is_dropped_behind_the_watermark(spark, tmp_path, few_partitions):
+    """After days 1 to 28 only the days within the delay are still held."""
+    t, paths, schema = _run(spark, tmp_path, [[order(f"O{i}", order_date=d)] for i, d in enumerate(DAYS[::9])])
+    held = spark.read.format("statestore").load(paths[2])
+    assert 1 <= held.count() <= 2
