@@ -11,7 +11,8 @@ the document and the reverse, so a re-parameterised copy counts and a mere
 likeness of form doesn't.
 
 That is the rule of ``contaminated``, which SQL restates. ``drop_contaminated``
-also drops near copies (``near_copies``).
+also drops near copies (``near_copies``), and there windows and hits need
+literal evidence beside their form.
 
 An item with fewer words than a window matches documents whose whole template
 is the same. Null and empty texts have no template and match nothing; null
@@ -59,9 +60,11 @@ def _is_slot(word: Column) -> Column:
     return word.isin("xnamex", "xnumx", "xunitx")
 
 
-def windows(texts: DataFrame, id_name: str, window: int, name: str = _NAME) -> DataFrame:
+def windows(texts: DataFrame, id_name: str, window: int, name: str = _NAME, literal: int = 0) -> DataFrame:
     """(id, n, pos, hash, slots): the windows of each template. ``slots`` holds
-    the words as written, where the window has a placeholder, else null."""
+    the words as written, where the window has a placeholder, else null. A
+    window with fewer than ``literal`` words that are no placeholders is hashed
+    as it is written."""
     has_slot = F.col("plain").rlike("xnamex|xnumx|xunitx")
     parts = (
         texts.where(F.col(id_name).isNotNull() & F.col("text").isNotNull())
@@ -73,7 +76,11 @@ def windows(texts: DataFrame, id_name: str, window: int, name: str = _NAME) -> D
     def one(i: Column) -> Column:
         w = F.slice("w", i + 1, window)
         slots = F.when(F.col("as_written").isNotNull(), F.when(F.exists(w, _is_slot), F.slice("as_written", i + 1, window)))
-        return F.struct(i.alias("pos"), F.xxhash64(w).alias("hash"), slots.alias("slots"))
+        digest = F.xxhash64(w)
+        if literal:
+            bare = F.size(F.filter(w, lambda x: ~_is_slot(x))) < literal
+            digest = F.when(bare & slots.isNotNull(), F.xxhash64(slots, F.lit("as written"))).otherwise(digest)
+        return F.struct(i.alias("pos"), digest.alias("hash"), slots.alias("slots"))
 
     many = F.transform(F.sequence(F.lit(0), last), one)
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("w", F.lit("whole")).alias("hash"), F.col("as_written").alias("slots")))
@@ -85,9 +92,9 @@ def windows(texts: DataFrame, id_name: str, window: int, name: str = _NAME) -> D
     return parts.where(F.col("at").isNotNull()).select(id_name, "n", "at.pos", "at.hash", "at.slots")
 
 
-def _matches(docs: DataFrame, items: DataFrame, window: int, name: str = _NAME) -> DataFrame:
+def _matches(docs: DataFrame, items: DataFrame, window: int, name: str = _NAME, literal: int = 0) -> DataFrame:
     """(doc_id, item_id, windows, item_pos, shift, slots): every window the two have in common."""
-    own = windows(items.select("item_id", "text"), "item_id", window, name)
+    own = windows(items.select("item_id", "text"), "item_id", window, name, literal)
     own = own.select("item_id", F.col("n").alias("windows"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
     # The windows of the benchmark go to every executor while they are few;
     # beyond that both sides are shuffled on the hash.
@@ -97,7 +104,7 @@ def _matches(docs: DataFrame, items: DataFrame, window: int, name: str = _NAME)
     pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     place = F.transform(pair, lambda p, i: F.struct((i + F.col("item_pos")).alias("at"), p["a"].alias("a"), p["b"].alias("b")))
     return (
-        windows(docs.select("doc_id", "text"), "doc_id", window, name)
+        windows(docs.select("doc_id", "text"), "doc_id", window, name, literal)
         .join(own, "hash")
         .select("doc_id", "item_id", "windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), place.alias("slots"))
     )
@@ -111,21 +118,35 @@ def _consistent() -> Column:
     )
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8) -> DataFrame:
+def _changed() -> Column:
+    """Places of the item whose words in the document are others."""
+    return F.array_distinct(F.transform(F.filter("slots", lambda s: s["a"] != s["b"]), lambda s: s["at"]))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8, literal: int = 0, alike: float = 0.0) -> DataFrame:
     """(doc_id, item_id, matched, windows, pos): one row per document and item
-    it contains; the alignment with the most matched windows, then the first."""
-    found = _matches(docs, items, window)
+    it contains; the alignment with the most matched windows, then the first.
+    With ``literal`` and ``alike``, as in ``near_copies``, form alone is no evidence."""
+    found = _matches(docs, items, window, literal=literal)
     grouped = found.groupBy("doc_id", "item_id", "windows", "shift").agg(
         F.count_distinct("item_pos").alias("matched"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    hits = grouped.where((F.col("matched") >= F.col("windows") * share) & _consistent())
+    words = F.col("windows") + window - 1
+    same = words - F.size(_changed()) >= words * alike
+    hits = grouped.where((F.col("matched") >= F.col("windows") * share) & _consistent() & same)
     best = F.max(F.struct(F.col("matched"), (-F.col("shift")).alias("back")))
     return hits.groupBy("doc_id", "item_id", "windows").agg(best.alias("best")).select(
         "doc_id", "item_id", F.col("best.matched").alias("matched"), "windows", (-F.col("best.back")).alias("pos")
     )
 
 
+#: What counts as evidence that a text is a copy, not one of a like form: windows
+#: with fewer words than LITERAL that are no placeholders match as written only,
+#: and ALIKE of an item's words must be the document's own words too.
+LITERAL, ALIKE = 2, 0.4
+
+
 def near_copies(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8, band: int = 8, least: int = 8, run: int = 13) -> DataFrame:
     """(doc_id, item_id), distinct: documents that hold an item with words put
     in, left out or replaced, or a long passage of it. Capitalised words are
@@ -135,26 +156,41 @@ def near_copies(docs: DataFrame, items: DataFrame, window: int = 5, share: float
     * ``share`` of the item's words, and at least ``least``, covered by windows
       at alignments up to ``band`` words apart from one in their middle, or
     * ``run`` words of the item in a row at one alignment.
-    """
+
+    Words in which item and document agree as written are literal. The first
+    two need ``ALIKE`` of the item's words to be literal, the second at least
+    ``least`` as well, and a run ``least`` literal words: rows of numbers and
+    texts in title case are alike in form only."""
+    place = lambda p: F.sequence(p, p + window - 1)
     runs = (
-        _matches(docs, items, window, _ANY_NAME)
+        _matches(docs, items, window, _ANY_NAME, LITERAL)
         .groupBy("doc_id", "item_id", "windows", "shift")
         .agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
         .where(_consistent())
+        .withColumn("changed", _changed())
+        .withColumn("words", F.array_distinct(F.flatten(F.transform("at", place))))
+        .withColumn("literal", F.array_except("words", "changed"))
         .drop("slots")
     )
     near = Window.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-band, band)
-    around = F.array_distinct(F.flatten(F.collect_list("at").over(near)))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(around, lambda p: F.sequence(p, p + window - 1)))))
+
+    def around(column: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_list(column).over(near))))
+
     long = run - window  # from the first to the last window of a run
-    row = F.exists("at", lambda p: F.array_contains("at", p + long) & (F.size(F.filter("at", lambda q: (q >= p) & (q <= p + long))) == long + 1))
+    unlike = lambda p: F.size(F.filter("changed", lambda c: (c >= p) & (c < p + run)))
+    row = F.exists(
+        "at",
+        lambda p: F.array_contains("at", p + long) & (F.size(F.filter("at", lambda q: (q >= p) & (q <= p + long))) == long + 1) & (unlike(p) <= run - least),
+    )
     words = F.col("windows") + window - 1
-    hit = (F.size("at") >= F.col("windows") * share) | row | ((F.col("covered") >= words * share) & (F.col("covered") >= least))
-    return runs.withColumn("covered", covered).where(hit).select("doc_id", "item_id").distinct()
+    whole = (F.size("at") >= F.col("windows") * share) & (F.size("literal") >= words * ALIKE)
+    covered = (F.col("covered") >= words * share) & (F.col("covered") >= least) & (F.col("same") >= words * ALIKE) & (F.col("same") >= least)
+    return runs.withColumn("covered", around("words")).withColumn("same", around("literal")).where(whole | row | covered).select("doc_id", "item_id").distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs``, columns as they are, that contain no item and no
     near copy of one. Rows with a null id can't be named by the search and are kept."""
-    bad = contaminated(docs, items, window, share).select("doc_id").unionByName(near_copies(docs, items, window, share).select("doc_id")).distinct()
+    bad = contaminated(docs, items, window, share, LITERAL, ALIKE).select("doc_id").unionByName(near_copies(docs, items, window, share).select("doc_id")).distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

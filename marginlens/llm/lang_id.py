@@ -6,12 +6,13 @@ a forward algorithm computes; a text's log probability is the sum over its
 words. The piece probabilities are fitted by expectation maximisation
 (forward-backward over the distinct words of each language).
 
-Words are maximal runs of letters, lower-cased; each starts with the
-vocabulary's word mark. Characters that are no piece of their own share one
+Words are maximal runs of letters, each with the marks that follow it,
+lower-cased; digits, fractions and number signs are none. A word starts with
+the vocabulary's word mark. Characters that are no piece of their own share one
 unknown piece. Pieces are looked up by a 64-bit hash.
 
-The fit may use a sample: of more than ``fit_rows`` training rows about
-``fit_rows`` are taken, by a hash of the id. Every text is scored whole.
+The fit may use a sample: of more than ``fit_rows`` training rows each
+language gives an equal share of them (see ``learn``). Every text is scored whole.
 
 Null texts and texts without a letter are ``und`` with score 0. Without
 training rows everything is ``und``. Null ids are scored, but not learned
@@ -21,7 +22,6 @@ Ties between languages go to the first in alphabetical order.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ from marginlens.llm.common import saved, slices
 PIECES = "piece_bpe_32k.model"
 MAX_PIECE = 16  # the longest piece of the vocabulary: none is left out
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+MIN_ROWS, LONG_WORD = 500, 48
+_WORD = regex.compile(r"(?:\p{L}\p{M}*)+")  # letters with the marks that follow them
 _MARK = "▁"
 
 
@@ -123,12 +125,14 @@ class Lattice:
                 got[got == 0] = 1
             self.piece.append(got)
 
-    def forward(self, prob: np.ndarray, column: np.ndarray | None = None, keep: bool = False):
+    def forward(self, prob: np.ndarray, column: np.ndarray | None = None, keep: bool = False, boost: np.ndarray | None = None):
         """log probabilities (words, languages) in the words' order of entry.
-        column: one language per word instead of all. keep: also all steps."""
+        column: one language per word instead of all. keep: also all steps.
+        boost: a factor per character of each word (see ``expected``)."""
         width = 1 if column is not None else prob.shape[1]
         n = len(self.length)
         column = None if column is None else column[self.order]
+        boost = None if boost is None else boost[self.order]
         steps = [np.ones((n, width))]
         scale = np.zeros((n, width))
         scales = [scale]
@@ -143,6 +147,8 @@ class Lattice:
                     continue
                 pieces = pieces[hit]
                 p = prob[pieces] if column is None else prob[pieces, column[hit]][:, None]
+                if boost is not None:
+                    p = p * (boost[hit] ** size)[:, None]
                 total[hit] += steps[j - size][hit] * p
             if not keep and j % 8 == 0:  # keep the numbers away from zero
                 top = np.max([s[:m] for s in steps[-MAX_PIECE:]] + [total], axis=0)
@@ -162,10 +168,19 @@ class Lattice:
 
 
 def expected(words: list[str], lang: np.ndarray, n: np.ndarray, prob: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """Expected piece counts (pieces, languages) of words with counts, each under its own language."""
+    """Expected piece counts (pieces, languages) of words with counts, each under its own language.
+
+    The steps of a long word would fall below the smallest number. A factor per
+    character is the same for all segmentations of a word, so it leaves their
+    shares as they are: long words get the one that brings their sum to 1."""
+    boost = np.ones(len(words))
+    long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+    if long:
+        logs = Lattice([words[i] for i in long], vocab).forward(prob, lang[long])[:, 0]
+        boost[long] = np.exp(-logs / [len(words[i]) + 1 for i in long])
     lattice = Lattice(words, vocab)
-    _, alpha = lattice.forward(prob, lang, keep=True)
-    lang, n = lang[lattice.order], n[lattice.order]
+    _, alpha = lattice.forward(prob, lang, keep=True, boost=boost if long else None)
+    lang, n, boost = lang[lattice.order], n[lattice.order], boost[lattice.order]
     size = len(words)
     whole = np.empty(size)
     for j in range(1, lattice.longest + 1):
@@ -184,7 +199,9 @@ def expected(words: list[str], lang: np.ndarray, n: np.ndarray, prob: np.ndarray
                 continue
             pieces, own = pieces[hit], lang[hit]
             p = prob[pieces, own] * beta[j][hit]
-            with np.errstate(divide="ignore", invalid="ignore"):
+            if long:
+                p = p * boost[hit] ** k
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
                 share = np.where(whole[hit] > 0, alpha[j - k][hit, 0] * p / whole[hit], 0.0)
             np.add.at(out, (pieces, own), share * n[hit])
             beta[j - k][hit] += p
@@ -200,7 +217,9 @@ class Model:
 
 
 def learn(docs: DataFrame, training: Column, fit_rows: int = 40_000, rounds: int = 3, path: str | None = None) -> Model:
-    """Fit on (doc_id, text, lang) where ``training`` is true."""
+    """Fit on (doc_id, text, lang) where ``training`` is true. Beyond
+    ``fit_rows`` rows a sample is fitted on: an equal share of them for each
+    language, but no fewer than ``MIN_ROWS``, drawn by a hash of doc_id."""
     path = path or public_tokenizers.path(PIECES)
     rows = docs.where(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     langs_n = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
@@ -208,7 +227,13 @@ def learn(docs: DataFrame, training: Column, fit_rows: int = 40_000, rounds: int
     if not langs:
         return Model([], np.zeros((0, 0)), path)
     if total > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
+        # One rate a language, so that a small one is there whole beside a large one.
+        share = max(fit_rows // len(langs), MIN_ROWS)
+        rate = F.lit(1.0)
+        for r in langs_n:
+            rate = F.when(F.col("lang") == r["lang"], min(1.0, share / r["n"])).otherwise(rate)
+        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)
+        rows = rows.where(drawn < rate)
     words = saved(_lang_words(rows, langs), "lang-words")
     vocab = vocabulary(path)
     prob = np.full((vocab.size, len(langs)), 1.0 / vocab.size)

@@ -57,6 +57,9 @@ _ASSIGNED = re.compile(r"""["']?\s*[:=]""")
 _SENSITIVE = re.compile("(?:" + "|".join(_either_case(w) for w in CONTEXT) + r")[A-Za-z0-9_]*")
 
 
+SAME_LENGTH = 0.88
+
+
 class Novelty:
     """Marginal compressed bytes per character of a string in its surroundings."""
 
@@ -90,22 +93,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Between two lines of one secret: a line end, as such or escaped, or quotes, with signs of concatenation.
+_BESIDE = re.compile(r"""(?=[^\n\\"']*[\n\\"'])(?:\\[nr]?|["'+,>|#*;\s]){1,16}""")
+_LAST_LINE = re.compile(r"(?:\\[nr]|\s)+([A-Za-z0-9+/]{1,15}={0,2})(?:\\[nr]|\s)*-----END")
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float, reach: int) -> list[tuple[int, int, str]]:
     """Candidates that start within ``reach`` behind a sensitive word, or end
-    within ``reach`` before one, or hold one; names that hold the word are of it."""
+    within ``reach`` before one, or hold one; names that hold the word are of
+    it. A candidate that is reported is a cue for the one beside it or on the
+    next line, so a block is followed in both directions to its ends. A line of
+    the same length passes there with ``SAME_LENGTH`` of the novelty (lines of
+    random base64 measure 0.59 and more), another one needs all of it and more
+    than letters; the short last line of a key block goes with it."""
     cues = [m.span() for m in _SENSITIVE.finditer(text)]
     starts, ends = [s for s, _ in cues], [e for _, e in cues]
-    out = []
+    candidates = []  # (start, end, stands near a cue)
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         i = bisect_right(starts, start) - 1  # the last cue that starts before it
         near = (i >= 0 and start <= ends[i] + reach) or (i + 1 < len(starts) and starts[i + 1] - end <= reach)
-        if not near or any(s <= start and end <= e for s, e, _ in base):
+        if any(s <= start and end <= e for s, e, _ in base):
             continue
         if i >= 0 and starts[i] == start and ends[i] == end and _ASSIGNED.match(text, end):
             continue  # the name of what follows
-        if novelty(text, start, end) >= least:
-            out.append((start, end, "novel"))
+        candidates.append((start, end, near))
+    measured: dict[int, float] = {}
+
+    def novel(i: int) -> float:
+        if i not in measured:
+            measured[i] = novelty(text, *candidates[i][:2])
+        return measured[i]
+
+    found = {i for i, (_, _, near) in enumerate(candidates) if near and novel(i) >= least}
+    for step, order in ((1, range(len(candidates))), (-1, range(len(candidates) - 1, -1, -1))):
+        for i in order:
+            j = i - step
+            if i in found or j not in found:
+                continue
+            left, right = candidates[min(i, j)], candidates[max(i, j)]
+            if right[0] - left[1] > 16 or not _BESIDE.fullmatch(text, left[1], right[0]):
+                continue
+            own = text[slice(*candidates[i][:2])]
+            alike = left[1] - left[0] == right[1] - right[0]
+            if novel(i) >= (least * SAME_LENGTH if alike else least) and (alike or not own.isalpha()):
+                found.add(i)
+    out = [(*candidates[i][:2], "novel") for i in sorted(found)]
+    for _, end, _ in list(out):
+        if m := _LAST_LINE.match(text, end):
+            out.append((*m.span(1), "novel"))
     return out
 
 

@@ -146,3 +146,28 @@ def test_names_at_sentence_starts_go(spark, make_docs):
     items = spark.createDataFrame([(1, tom), (2, short)], "item_id long, text string")
     docs = make_docs([(1, tom.replace("Tom", "Sam")), (2, "he asked them Which river flows through the town? and left"), (3, "he asked them which river flows through the town? and left"), (4, "he asked which river it was")])
     assert [r["doc_id"] for r in d.drop_contaminated(docs, items).collect()] == [4]
+
+
+def test_likeness_of_form_is_no_evidence(spark, make_docs):
+    """Number tables, forms with other values and title-case texts stay; the same with equal values goes."""
+    numbers = "monthly sales were " + " ".join(str(1000 + 37 * i) for i in range(25))
+    title = "The Old Man And His Small Grey Dog Went Down To Their Lake Again"
+    form = "from 10 to 20 from 30 to 40 from 50 to 60 from 70 to 80 from 90 to 100"
+    items = spark.createDataFrame([(1, numbers), (2, title), (3, form)], "item_id long, text string")
+    clean = [
+        "monthly sales were " + " ".join(str(7 + 91 * i) for i in range(40)),
+        " ".join(str(5 + 13 * i) for i in range(300)),
+        "A Title Of Quite Another Kind With Many Words In It And None Of Them The Same As There",
+        "Annual Report Of The Council On Roads Rivers Bridges And Other Works In The Northern Counties",
+    ]
+    copies = [numbers, "x " + numbers + " y", title, "they read: " + title + " and so on", form]
+    docs = make_docs(list(enumerate(clean + copies)))
+    assert sorted(r["doc_id"] for r in d.drop_contaminated(docs, items).collect()) == list(range(len(clean)))
+
+
+def test_a_number_table_against_many_items_is_quick(spark, make_docs):
+    """20,000 numbers and 40 items of 25 numbers meet in no window."""
+    items = spark.createDataFrame([(i, " ".join(str(i * 1000 + 7 * j) for j in range(25))) for i in range(40)], "item_id long, text string")
+    docs = make_docs([(1, " ".join(str(10**6 + 3 * i) for i in range(20_000))), (2, " ".join(str(5 * 1000 + 7 * j) for j in range(25)))])
+    assert d._matches(docs, items, 5, d._ANY_NAME, d.LITERAL).where("doc_id = 1").count() == 0
+    assert [r["doc_id"] for r in d.drop_contaminated(docs, items).collect()] == [1]

@@ -120,3 +120,34 @@ def test_no_letter_piece_is_left_out():
     whole = lattice.piece[len("translation") - 1][1]
     code = lang_id._packed([int(vocab.code[ord(c)]) for c in "translation"])
     assert whole and vocab.ids[11][vocab.keys[11].tolist().index(code)] == whole
+
+
+def test_number_signs_are_no_letters_and_marks_stay(spark, make_docs):
+    assert lang_id._WORD.findall("½ ² ③ Ⅷ 12_a हिन्दी e\u0301t\u0327e x1y") == ["a", "हिन्दी", "e\u0301t\u0327e", "x", "y"]
+    model = lang_id.Model(["de", "en"], np.full((lang_id.vocabulary(PATH).size, 2), 0.5), PATH)
+    docs = make_docs([(1, "½ ² ③ Ⅷ 12"), (2, "हिन्दी ½")])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lang_id.predict(docs, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2] == ("de", 0.5)  # equal languages: the first, with an equal share
+
+
+@pytest.mark.parametrize("length", [49, 80, 300])
+def test_long_words_are_counted_in_full(parts, length):
+    """Expected pieces times their lengths add up to the word's characters and mark."""
+    vocab, prob = parts
+    words = ["ab" * (length // 2), "the"]
+    got = lang_id.expected(words, np.array([0, 1]), np.array([5.0, 1.0]), prob, vocab)
+    sizes = np.ones(vocab.size)
+    for k in range(1, lang_id.MAX_PIECE + 1):
+        sizes[vocab.ids[k]] = k
+    assert np.isclose((got[:, 0] * sizes).sum(), 5 * (len(words[0]) + 1))
+    assert np.isclose((got[:, 1] * sizes).sum(), 4)
+
+
+def test_a_small_language_is_in_the_sample(spark):
+    rows = spark.range(60_000).selectExpr("id as doc_id", "'the and of with' as text", "'en' as lang")
+    few = spark.range(30).selectExpr("id + 100000 as doc_id", "'kala vesi maja puu' as text", "'et' as lang")
+    from pyspark.sql import functions as F
+
+    model = lang_id.learn(rows.union(few), F.lit(True), fit_rows=2_000)
+    got = lang_id.predict(spark.createDataFrame([(1, "vesi ja maja"), (2, "of the")], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "et", 2: "en"}

@@ -106,3 +106,31 @@ def test_every_candidate_near_a_cue(text):
 def test_words_near_a_cue_stay():
     text = "the credentials of internationalization and responsibilities lie in /usr/share/documentation/readme.html"
     assert s.scan(text, s.Novelty()) == []
+
+
+def _key(lines, seed, width=64):
+    import base64
+    import random
+
+    raw = base64.b64encode(random.Random(seed).randbytes(48 * lines + 6)).decode()
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\\n", '",\n  "', "\n# "])
+@pytest.mark.parametrize("seed", range(3))
+def test_a_key_block_is_followed_to_its_end(end, seed):
+    lines = _key(14, seed)
+    prose = "This block was found in the settings of an old host, and the readers of this page know it well."
+    text = f"{prose}\n-----BEGIN RSA PRIVATE KEY-----{end}{end.join(lines)}{end}-----END RSA PRIVATE KEY-----\n{prose}"
+    out = s.redact(text, s.scan(text, s.Novelty()))
+    kept = [x for x in lines if x in out]
+    assert not [x for x in kept if len(x) >= 16] and (not kept or end in ('",\n  "', "\n# "))
+    assert out.count(prose) == 2
+
+
+def test_a_block_before_its_cue_and_words_beside_a_secret():
+    lines = _key(6, 9)[:6]
+    text = "\n".join(lines) + "\nis the passphrase of all hosts"
+    assert not any(x in s.redact(text, s.scan(text, s.Novelty())) for x in lines)
+    text = f"passphrase {RANDOM}{RANDOM[::-1]}\ninternationalization responsibilities documentation/readme.html"
+    assert "internationalization responsibilities documentation/readme.html" in s.redact(text, s.scan(text, s.Novelty()))
