@@ -6,16 +6,16 @@ minima are bucket keys: a pair of Jaccard similarity 0.8 misses all 32 bands
 with probability 3e-6. Of each minimum only the low ``LOW_BITS`` bits are
 kept, 16 to a long; a candidate pair's equal lanes are counted by bit counts,
 and the share, corrected for lanes that agree by chance, estimates the
-similarity. Pairs estimated at least ``MARGIN`` below the limit (six standard
+similarity. Pairs estimated at least ``MARGIN`` below the limit (4.5 standard
 deviations) go; the others are confirmed on both full sets.
 
 Equal sets are one row from the start. Buckets aren't expanded to pairs: a
 round compares all members of a bucket with a pivot, merges what is
 confirmed, and drops the buckets whose members are one component by then.
-In the next round each remaining bucket has ``GROWTH`` times as many pivots. A pivot has
+In the next round each remaining bucket has more pivots (``PIVOTS``). A pivot has
 met its whole bucket and leaves it, and pairs within a component are not
 compared, so a bucket of n near copies costs n pairs, and one of unlike
-documents is worked off in about log(n) / log(GROWTH) rounds. The result is that of all
+documents is worked off in few rounds. The result is that of all
 pairs. Members meet pivots, and pairs their sets, slice by slice (see
 ``functions.slices``), so neither a large bucket nor a pivot of many pairs is
 one task.
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginlens.functions.slices import SLICE, sliced
-from marginlens.llm.common import map_batches, saved
+from marginlens.llm.common import forget, map_batches, mark, saved
 from marginlens.llm.components import connected_components
 
 SHINGLE, SIMILAR = 4, 80  # words; percent
@@ -49,8 +49,11 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 LOW_BITS = 4
 LANES = 64 // LOW_BITS
-MARGIN = 0.2
-GROWTH = 8
+MARGIN = 0.15
+#: Pivots a bucket in each round; from the last on eight times as many each round.
+PIVOTS = (1, 2, 4, 16, 128)
+#: Keys of texts that are sent to every task, 8 bytes each; beyond it the texts are joined.
+MOST_KEYS = 1 << 22
 
 _rng = np.random.default_rng(20240229)
 _TIMES = _rng.integers(0, 2**31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -173,14 +176,67 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, all) for ``wanted`` (id, text_key): all distinct shingles of the text."""
-    texts = docs.select("text", _text_key().alias("text_key")).join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
-
-    def run(batch):
-        sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "all"])
-
-    return map_batches(texts, run, "text_key binary, all array<long>").join(wanted, "text_key").select("id", "all")
+    """(id, all) for ``wanted`` (id, text_key): all distinct shingles of the text.
+
+    The texts are looked for in place by the first 64 bits of their keys while
+    the keys are few enough to be sent; else docs and keys are joined. The
+    join on the whole key decides in both cases."""
+    texts = docs.select("text", _text_key().alias("text_key"))
+    few = wanted.count() <= MOST_KEYS
+    if few:
+        heads = wanted.select(F.conv(F.substring(F.hex("text_key"), 1, 16), 16, -10).cast("long").alias("head")).toArrow().column("head")
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(heads.to_numpy()))
+    else:
+        texts = texts.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+
+    def run(batches):
+        done: set[bytes] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = part.column("text_key").to_pylist()
+                hit = range(len(keys))
+                if few:
+                    own = np.array([int.from_bytes(k[:8], "big", signed=True) if k else 0 for k in keys], np.int64)
+                    place = np.minimum(np.searchsorted(shared.value, own), max(len(shared.value) - 1, 0))
+                    hit = np.flatnonzero(shared.value[place] == own).tolist() if len(shared.value) else []
+                hit = [i for i in hit if keys[i] is not None and keys[i] not in done]
+                hit = list({keys[i]: i for i in hit}.values())
+                if few and len(done) < 1 << 16:  # copies of one text in a task are read once
+                    done.update(keys[i] for i in hit)
+                if hit:
+                    sets = [shingles(part.column("text")[i].as_py(), size).view(np.int64) for i in hit]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "all"])
+
+    sets = texts.mapInArrow(run, "text_key binary, all array<long>").join(wanted, "text_key").select("id", "all")
+    return sets.dropDuplicates(["id"])
+
+
+def _shared_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, id, slice) dealt by range, without rows alone in their bucket;
+    a slice's first and last row may be alone, or go on in the next slice."""
+
+    def run(batches):
+        held, first = None, True  # the last row of what came before, not yet judged
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
+            own = table.column("bucket").to_numpy()
+            same = own[1:] == own[:-1]
+            keep = np.zeros(len(own), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= first if held is None else came
+            first = False
+            came = bool(keep[-1])
+            yield from table.slice(0, len(own) - 1).filter(pa.array(keep[:-1])).to_batches()
+            held = table.slice(len(own) - 1).to_batches()[0]
+        if held is not None:
+            yield held
+
+    dealt = rows.select("bucket", "id").repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+    return saved(dealt.mapInArrow(run, "bucket long, id long").withColumn(SLICE, F.spark_partition_id()), "minhash-members")
 
 
 def _close_in_size(a: str, b: str, percent: int) -> Column:
@@ -201,23 +257,22 @@ def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
     """(id, root) of the linked ids of ``sets`` (id, n, sig, bands, text_key),
     as all similar pairs connect them, the misses named above aside; None without a common bucket."""
     rows = sets.select("id", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    save = lambda df: saved(df, "minhash-members")
     # Dealt by range, so a large bucket lies in several slices.
-    everyone = sliced(rows, ["bucket"], [F.col("id").asc()], save)
-    spans = everyone.select(SLICE, "bucket").distinct().join(several, "bucket")
-    members = saved(everyone.join(spans, [SLICE, "bucket"]).select(SLICE, "bucket", "id", F.col("id").alias("part")), "minhash-members")
+    members = _shared_buckets(rows).select(SLICE, "bucket", "id", F.col("id").alias("part"))
     sign = sets.select("id", "n", "sig")
     found = rejected = full = roots = None
-    round_ = 0
+    spark, round_ = docs.sparkSession, 0
+    kept = []  # what later rounds read
     while not members.isEmpty():
-        # One pivot a bucket, the same in all buckets where it can be, and GROWTH times as many each round.
+        since = mark()
+        wide = PIVOTS[round_] if round_ < len(PIVOTS) else PIVOTS[-1] * 8 ** (round_ - len(PIVOTS) + 1)
+        # The same pivots in all buckets where it can be.
         draw = F.xxhash64(F.lit(round_), F.col("id"))
         sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", draw).alias("chosen"))
         if round_:
             of = members.select(SLICE, "bucket").distinct().join(sizes, "bucket")
             share = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
-            picked = members.join(of, [SLICE, "bucket"]).where((F.col("id") == F.col("chosen")) | (share < (float(GROWTH) ** round_) / F.col("n")))
+            picked = members.join(of, [SLICE, "bucket"]).where((F.col("id") == F.col("chosen")) | (share < float(wide) / F.col("n")))
             pivots = saved(picked.select("bucket", F.col("id").alias("pivot")), "minhash-pivots")
         else:
             pivots = saved(sizes.select("bucket", F.col("chosen").alias("pivot")), "minhash-pivots")
@@ -239,18 +294,22 @@ def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
         wanted = saved(ends.join(sets.select("id", "text_key"), "id"), "minhash-wanted")
         if full is None or not wanted.isEmpty():
             new = saved(_full_sets(docs, wanted, size), "minhash-sets")
+            kept.append(new)
             full = new if full is None else full.unionByName(new)
-        judged = saved(_confirmed(pairs, full, percent), "minhash-judged").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "linked")
+        kept.append(saved(_confirmed(pairs, full, percent), "minhash-judged"))
+        judged = kept[-1].select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "linked")
         right, wrong = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
         found = right if found is None else found.unionByName(right)
         rejected = wrong if rejected is None else rejected.unionByName(wrong)
-        roots = connected_components(found).select(F.col("node").alias("id"), "root")
+        of = connected_components(found)
+        roots = of.select(F.col("node").alias("id"), "root")
         left = members.drop("part").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
         left = left.join(roots, "id", "left").select(SLICE, "bucket", "id", F.coalesce("root", "id").alias("part"))
         left = saved(left, "minhash-left")
         open_ = left.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
         spans = left.select(SLICE, "bucket").distinct().join(open_, "bucket")
         members = saved(left.join(spans, [SLICE, "bucket"]).select(SLICE, "bucket", "id", "part"), "minhash-members")
+        forget(spark, since, [of, members, *kept])
         round_ += 1
     return roots
 

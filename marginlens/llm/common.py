@@ -61,12 +61,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _saved.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
 
 
 _saved: list[str] = []
 
 
+def mark() -> int:
+    """The place ``forget`` goes back to."""
+    return len(_saved)
+
+
+def forget(spark: SparkSession, since: int, keep: list[DataFrame | None]) -> None:
+    """Remove the tables saved since ``mark``, but those of ``keep``: for
+    steps whose results are written and don't read them again."""
+    held = {df.saved_at for df in keep if df is not None}
+    for path in [p for p in _saved[since:] if p not in held]:
+        _delete(spark, path)
+        _saved.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the tables saved within, at its end: for callers that have
@@ -76,8 +97,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _saved[mark:]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         del _saved[mark:]
 
 
