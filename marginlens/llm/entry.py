@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bbit_minhash, bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, prefix_trie, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
+from marginlens.llm import bbit_minhash, bpe_codec, decontaminate, lang_id, license_scan, merkle_manifest, oracle_sql, prefix_trie, projected_ann, quality, secret_scan, simhash_cover, suffix_tree_lm, url_cascade
 from marginlens.llm.common import held_out, learned, table
 
 URL_RULES = [
@@ -181,4 +181,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_minhash,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+    "op8_url_filter": OP8_SQL,
+    "op11_prefix_trie": oracle_sql.OP11_SQL,
+    "op12_merkle": oracle_sql.OP12_SQL,
+    "op13_minhash": oracle_sql.OP13_SQL,
+}
