@@ -31,7 +31,7 @@ def _in_month(month: str | date) -> Column:
 
 def top_return_category(t: Tables, channel: str = "FLIPKART") -> DataFrame:
     """Q35: the category with the highest return rate on a channel."""
-    rr = return_rate(_restrict(t, F.col("channel") == channel))
+    rr = return_rate(t, orders=t.fact_orders.where(F.col("channel") == channel))
     return rr.orderBy(F.col("return_rate").desc_nulls_last(), F.col("category").asc_nulls_last()).limit(1)
 
 
@@ -66,7 +66,7 @@ def lowest_commission_channel(t: Tables) -> DataFrame:
 def top_reasons_category(t: Tables, category: str, k: int = 3) -> DataFrame:
     """Q39: the k most frequent return reasons for one category, all channels."""
     orders = _restrict(t, F.col("category") == category)
-    per_order = returns_per_order(t, "return_reason").join(order_rows_per_key(orders), "order_id")
+    per_order = returns_per_order(t, "return_reason", orders=orders.fact_orders).join(order_rows_per_key(orders), "order_id")
     counts = per_order.groupBy("return_reason").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
     return counts.orderBy(F.col("n").desc(), F.col("return_reason").asc_nulls_last()).limit(k)
 
@@ -74,7 +74,7 @@ def top_reasons_category(t: Tables, category: str, k: int = 3) -> DataFrame:
 def return_rate_pair(t: Tables, category: str, channel: str) -> DataFrame:
     """Q40: return rate of one category on one channel (no row if it never sold)."""
     cond = (F.col("category") == category) & (F.col("channel") == channel)
-    return return_rate(_restrict(t, cond))
+    return return_rate(t, orders=t.fact_orders.where(cond))
 
 
 def adhoc_sql(t: Tables, sql_text: str, limit: int | None = None) -> DataFrame:

@@ -71,7 +71,7 @@ def arrivals(t: Tables, landing: str, slices: int = 3) -> list[DataFrame]:
     all the lines whose order_id ends in 7, however old. Test data, not data of record."""
     behind = F.coalesce(F.col("order_id").endswith("7"), F.lit(False))
     days = t.fact_orders.agg(F.min("order_date").alias("a"), F.max("order_date").alias("b")).first()
-    came = F.datediff(F.date_add("order_date", F.length("order_id") % 6), F.lit(days["a"]).cast("date"))
+    came = F.datediff(F.date_add("order_date", F.length(F.coalesce("order_id", F.lit(""))) % 6), F.lit(days["a"]).cast("date"))
     span = F.datediff(F.lit(days["b"]).cast("date"), F.lit(days["a"]).cast("date")) + 6
     part = F.when(behind, slices).otherwise(F.coalesce(F.floor(came * slices / span), F.lit(0)))
     lines = t.fact_orders.select(*LINE)

@@ -125,3 +125,20 @@ def test_returns_are_cut_down_before_they_are_aggregated(t, no_broadcast, name):
         joins = [k for k, line in enumerate(above) if "LeftSemi" in line]
         aggregates = [k for k, line in enumerate(above) if re.search(r"HashAggregate\(keys=\[order_id", line)]
         assert joins and aggregates and max(joins) > max(aggregates)
+
+
+@pytest.mark.parametrize(
+    ("name", "cell"),
+    [("top_return_category", "= FLIPKART"), ("top_reasons_category", "= STANDARD"), ("return_rate_pair", "= AJIO")],
+)
+def test_a_question_on_a_cell_cuts_the_returns_first(t, no_broadcast, name, cell):
+    """The returns meet the cell's orders before anything is aggregated or sorted for a window, inside the buckets."""
+    plan = _plan(registry.apply(t, name))
+    lines = plan.splitlines()
+    (returns,) = [i for i, x in enumerate(lines) if "FileScan" in x and "fact_returns" in x]
+    orders = [i for i, x in enumerate(lines) if "FileScan" in x and "order_lines" in x]
+    # The returns' side of its join: down from the join (after the other side, where that comes first).
+    side = max([i for i, x in enumerate(lines[:returns]) if "SortMergeJoin" in x] + [i for i in orders if i < returns])
+    assert not [x for x in lines[side + 1 : returns] if "Aggregate" in x or "Window" in x]
+    assert "Exchange hashpartitioning(order_id" not in plan
+    assert cell in plan
