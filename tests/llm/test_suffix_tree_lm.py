@@ -23,7 +23,8 @@ TEXTS = ["The cat sat on the mat.", "the dog sat\non the log", "a cat and a dog"
 def fitted(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     counts = lm.counts(docs, 4).where("code IS NOT NULL").select("code", "n")
-    root, nodes = lm.contexts(counts, 4, 1e-3, 1000)
+    root, nodes, tail = lm.head_and_tail(lm.states(counts, 4, 1), 1000)
+    assert tail.count() == 0
     return counts, root, nodes, lm.build(root, nodes, 4, 1e-3, 2.0)
 
 
@@ -80,6 +81,64 @@ def test_automaton_finds_the_longest_suffix(fitted):
             assert got == pytest.approx(by_hand(nodes, root, b" ".join(words), 4, 1e-3, 2.0), rel=1e-5)
 
 
+def by_divergence(texts, depth, least):
+    """Contexts by the definition: counted, tested against the suffix, closed."""
+    n = {}
+    for t in texts:
+        data = b"\n" * depth + b" ".join(lm.words_of(t)) + b"\n"
+        for i in range(depth, len(data)):
+            for k in range(depth + 1):
+                n.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    total = n[b""].total()
+    stay = set()
+    for ctx, own in n.items():
+        if ctx and own.total() >= least:
+            up = n[ctx[1:]]
+            gain = sum(c * math.log(c * up.total() / (own.total() * up[s])) for s, c in own.items())
+            if gain > len(own) * 0.5 * math.log(total):
+                stay |= {ctx[i:] for i in range(len(ctx))}
+    return {(len(c), int.from_bytes(c, "big")): sorted(n[c].items()) for c in stay}
+
+
+@pytest.mark.parametrize("least", [1, 6, 40])
+def test_contexts_stay_by_the_divergence_test(spark, fitted, least):
+    found = lm.states(fitted[0], 4, least)
+    _, nodes, _ = lm.head_and_tail(found, 10_000)
+    assert nodes == by_divergence(TEXTS, 4, least)
+    assert found.where("k = 0").count() == 1
+
+
+def test_head_size_changes_no_score(spark, make_docs):
+    docs = make_docs([(i, t) for i, t in enumerate(TEXTS + ["zq the dog sat on été", "q" * 3000, "the cat sat on a log " * 500])])
+    want = None
+    for head in (10_000, 40, 5, 1, 0):
+        rows = lm.scores(docs, F.col("doc_id") % 5 != 0, depth=4, least=3, head=head, smooth=2.0).collect()
+        got = {r["doc_id"]: r["score"] for r in rows}
+        want = want or got
+        assert len(rows) == len(got) == len(want)
+        assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_every_tail_context_is_in_the_filter(fitted):
+    found = lm.states(fitted[0], 4, 1)
+    _, nodes, tail = lm.head_and_tail(found, 30)
+    held = lm.tail_filter(tail)
+    own = {(r["k"], r["ctx"]) for r in tail.collect()}
+    front = [(k, c) for k, c in own if (k - 1, c & ((1 << 8 * (k - 1)) - 1)) not in own]
+    assert front and len(nodes) == 30
+    for bit in lm.bits_of(np.array([c for _, c in front]), np.array([k for k, _ in front])):
+        assert ((held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).all()
+
+
+def test_contexts_grow_with_the_input(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = []
+    for part in (docs.where("doc_id % 4 = 0"), docs):
+        found = lm.counts(part, 6).where("code IS NOT NULL").select("code", "n")
+        kept.append({(r["k"], r["ctx"]) for r in lm.states(found, 6, 50).select("k", "ctx").collect()})
+    assert len(kept[1]) > 1.5 * len(kept[0])
+
+
 def test_base_score_of_the_whole_table(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
