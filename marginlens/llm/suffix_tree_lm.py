@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginlens.llm.common import saved, slices
+from marginlens.llm.common import forget, mark, saved, slices
 
 END = 10  # a byte that no word holds; also stands before the first word
 MAX_DEPTH = 6  # an n-gram of depth + 1 bytes is one 64-bit integer
@@ -157,7 +157,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 class Tree:
     """The automaton. symbol: class of each byte; rare bytes share one. step
     and score: by state * classes + class; offset: log10 share of a byte in its
-    class; known: by state, length of the longest suffix that is a context."""
+    class; known: by state, length of the longest suffix that is a context if
+    the tail goes on from it, else ``depth``."""
 
     depth: int
     classes: int
@@ -172,7 +173,7 @@ class Tree:
         return self.walk(data, strips, block)[0]
 
     def walk(self, data: np.ndarray, strips: int = 8192, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-        """``scores``, and the length of the context each was taken in."""
+        """``scores``, and ``known`` of the state each was taken in."""
         out, known = np.empty(len(data)), np.empty(len(data), np.uint8)
         lead = np.full(self.depth, END, np.uint8)
         for at in range(0, len(data), block):
@@ -213,6 +214,7 @@ def states(counts: DataFrame, depth: int, least: int) -> DataFrame:
     (null for the root), and a struct (sym, n) per next symbol."""
     each = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")
     rows = counts.select(each, "code", "n").select("k", _context(F.col("code"), F.col("k"), depth).alias("ctx"), F.col("code").bitwiseAND(255).cast("int").alias("sym"), "n")
+    since = mark()
     rows = saved(rows.groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n")), "lm-contexts")
     often = rows.groupBy("k", "ctx").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (F.col("k") == 0))
     # A context has at most 256 next symbols, and 256 contexts one byte longer.
@@ -229,27 +231,35 @@ def states(counts: DataFrame, depth: int, least: int) -> DataFrame:
     each = F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k")
     closed = tested.where("differs").select(each, "ctx").select("k", _context(F.col("ctx") * 256, F.col("k"), depth).alias("ctx")).distinct()
     root = nodes.where("k = 0").select("k", "ctx", "total", F.lit(None).cast("long").alias("above"), "next")
-    return saved(root.unionByName(tested.drop("differs").join(closed, ["k", "ctx"])), "lm-states")
+    found = saved(root.unionByName(tested.drop("differs").join(closed, ["k", "ctx"])), "lm-states")
+    forget(counts.sparkSession, since, keep=[found])
+    return found
 
 
 def head_and_tail(found: DataFrame, most: int) -> tuple[list, dict[tuple[int, int], list], DataFrame]:
     """(next symbols of the root, {(length, context): next symbols} of the
     ``most`` most frequent contexts, states of all others). A suffix is at
     least as frequent as what it is a suffix of, and shorter: the head holds
-    the suffixes of its contexts."""
+    the suffixes of its contexts. ``front`` marks contexts of the tail whose
+    suffix ``pctx``, one byte shorter, is in the head."""
     pairs = lambda own: [(x["sym"], x["n"]) for x in own]
     root = [x for r in found.where("k = 0").select("next").toArrow().column("next").to_pylist() for x in pairs(r)]
-    deep = found.where("k > 0")
+    masks = F.array(*[F.lit((1 << 8 * j) - 1) for j in range(MAX_DEPTH)])
+    deep = found.where("k > 0").withColumn("pctx", F.col("ctx").bitwiseAND(F.element_at(masks, F.col("k"))))
     first = deep.orderBy(F.desc("total"), "k", "ctx").limit(most).select("k", "ctx", "total", "next").toArrow()
     nodes, last = {}, None
     for part in first.to_batches():
         for k, ctx, total, own in zip(*(part.column(i).to_pylist() for i in range(4))):
             nodes[k, ctx], last = pairs(own), (total, k, ctx)
     if last is None:
-        return root, nodes, deep
-    total, k, ctx = last
-    behind = (F.col("k") > k) | ((F.col("k") == k) & (F.col("ctx") > ctx))
-    return root, nodes, deep.where((F.col("total") < total) | ((F.col("total") == total) & behind))
+        return root, nodes, deep.withColumn("front", F.col("k") == 1)
+
+    def behind(total: str, k: Column, ctx: str) -> Column:
+        later = (k > last[1]) | ((k == last[1]) & (F.col(ctx) > last[2]))
+        return (F.col(total) < last[0]) | ((F.col(total) == last[0]) & later)
+
+    front = (F.col("k") == 1) | ~behind("above", F.col("k") - 1, "pctx")
+    return root, nodes, deep.where(behind("total", F.col("k"), "ctx")).withColumn("front", front)
 
 
 def bits_of(ctx: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
@@ -258,11 +268,10 @@ def bits_of(ctx: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
     return [(key * np.uint64(odd)) >> np.uint64(64 - FILTER_BITS) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def tail_filter(tail: DataFrame) -> np.ndarray:
-    """Bloom filter, as bytes, over the tail's contexts whose suffix is not in the tail."""
-    inner = tail.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("pctx"))
-    masks = F.array(*[F.lit((1 << 8 * j) - 1) for j in range(MAX_DEPTH)])
-    own = tail.select("k", "ctx", F.col("ctx").bitwiseAND(F.element_at(masks, F.col("k"))).alias("pctx"))
+def tail_filter(tail: DataFrame) -> tuple[np.ndarray, set[tuple[int, int]]]:
+    """(Bloom filter, as bytes, over the contexts at the tail's front; the
+    contexts of the head, or the root (0, 0), that they are one byte longer than)."""
+    front = tail.where("front")
 
     def run(batches):
         held = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -272,18 +281,21 @@ def tail_filter(tail: DataFrame) -> np.ndarray:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int16))], ["at", "held"])
 
-    parts = own.join(inner, ["k", "pctx"], "left_anti").select("k", "ctx").mapInArrow(run, "at long, held short")
+    parts = front.select("k", "ctx").mapInArrow(run, "at long, held short")
     got = parts.groupBy("at").agg(F.bit_or("held").alias("held")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     out[got.column("at").to_numpy()] = got.column("held").to_numpy().astype(np.uint8)
-    return out
+    opened = front.select((F.col("k") - 1).alias("k"), "pctx").distinct().toArrow()
+    return out, set(zip(opened.column("k").to_pylist(), opened.column("pctx").to_pylist()))
 
 
 def in_tail(data: np.ndarray, real: np.ndarray, known: np.ndarray, held: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, their n-grams) whose context may go on into the tail: the
     filter holds the one that is a byte longer than the head's."""
     at = np.flatnonzero(real & (known < depth))
-    code = grams(data, depth)[at]
+    code = np.zeros(len(at), np.int64)
+    for j in range(depth + 1):
+        code |= data[at - j].astype(np.int64) << 8 * j
     k = known[at] + 1
     hit = np.ones(len(at), bool)
     for bit in bits_of((code >> 8) & ((np.int64(1) << (8 * k.astype(np.int64))) - 1), k):
@@ -306,7 +318,7 @@ def looked_up(hits: DataFrame, tail: DataFrame, depth: int, smooth: float) -> Da
     return hits.select("row", "code", "tf").join(better, "code").groupBy("row").agg(F.sum(F.col("tf") * F.col("more")).alias("deeper"))
 
 
-def build(root: list[tuple[int, int]], nodes: dict[tuple[int, int], list], depth: int, least: float, smooth: float) -> Tree:
+def build(root: list[tuple[int, int]], nodes: dict[tuple[int, int], list], depth: int, least: float, smooth: float, opened: set[tuple[int, int]] = frozenset()) -> Tree:
     count = np.zeros(256)
     for s, n in root:
         count[s] = n
@@ -326,7 +338,7 @@ def build(root: list[tuple[int, int]], nodes: dict[tuple[int, int], list], depth
     at = {n: i for i, n in enumerate(names)}
     step = np.zeros((len(names), classes), np.int32)
     score = np.zeros((len(names), classes), np.float32)
-    known = np.zeros(len(names), np.uint8)
+    known = np.full(len(names), 0 if (0, 0) in opened else depth, np.uint8)
     for i, name in enumerate(names):
         link = name[1:]
         while name and link not in at:
@@ -336,7 +348,7 @@ def build(root: list[tuple[int, int]], nodes: dict[tuple[int, int], list], depth
         else:
             step[i], score[i], known[i] = step[at[link]], score[at[link]], known[at[link]]
             if name in own:
-                known[i] = len(name)
+                known[i] = len(name) if (len(name), int.from_bytes(name, "big")) in opened else depth
                 n = np.zeros(classes)
                 for s, c in own[name]:
                     n[symbol[s]] += c
@@ -348,7 +360,7 @@ def build(root: list[tuple[int, int]], nodes: dict[tuple[int, int], list], depth
     return Tree(depth, classes, symbol, offset, step.ravel(), np.log10(score, out=score).ravel(), known)
 
 
-def scores(docs: DataFrame, training: Column, frequent: float = 2e-6, depth: int = 6, least: int = 50, head: int = 30_000, smooth: float = 4.0) -> DataFrame:
+def scores(docs: DataFrame, training: Column, frequent: float = 2e-6, depth: int = 6, least: int = 50, head: int = 100_000, smooth: float = 4.0) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every
     row of ``docs``, learned from the rows where ``training`` is true. ``head``
     and ``frequent`` say what goes to the executors; neither changes a result."""
@@ -359,8 +371,8 @@ def scores(docs: DataFrame, training: Column, frequent: float = 2e-6, depth: int
     found = saved(counts(docs.where(training), depth), "lm-counts")
     context_rows = states(found.where(F.col("code").isNotNull()).select("code", "n"), depth, least)
     root, nodes, tail = head_and_tail(context_rows, head)
-    tree = build(root, nodes, depth, frequent, smooth)
-    held = tail_filter(tail) if len(nodes) == head else None
+    held, opened = tail_filter(tail) if len(nodes) == head else (None, set())
+    tree = build(root, nodes, depth, frequent, smooth, opened)
     words = found.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
     got = words.agg(F.sum("c"), F.count("*")).first()
     tokens, distinct = got[0] or 0, got[1]

@@ -122,10 +122,11 @@ def test_head_size_changes_no_score(spark, make_docs):
 def test_every_tail_context_is_in_the_filter(fitted):
     found = lm.states(fitted[0], 4, 1)
     _, nodes, tail = lm.head_and_tail(found, 30)
-    held = lm.tail_filter(tail)
+    held, opened = lm.tail_filter(tail)
     own = {(r["k"], r["ctx"]) for r in tail.collect()}
     front = [(k, c) for k, c in own if (k - 1, c & ((1 << 8 * (k - 1)) - 1)) not in own]
     assert front and len(nodes) == 30
+    assert opened == {(k - 1, c & ((1 << 8 * (k - 1)) - 1)) for k, c in front} and opened - {(0, 0)} <= set(nodes)
     for bit in lm.bits_of(np.array([c for _, c in front]), np.array([k for k, _ in front])):
         assert ((held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).all()
 
