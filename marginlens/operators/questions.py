@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import money_sum
-from ..sources.catalog import named_sql
+from ..sources.catalog import run_sql
 from ..sources.tables import Tables
 from .common import month_start, order_rows_per_key, returns_per_order
 from .dashboard import channel_revenue
@@ -82,7 +82,7 @@ def adhoc_sql(t: Tables, sql_text: str, limit: int | None = None) -> DataFrame:
     ``raw.fact_orders``) and mart views (``v_daily_pnl`` or
     ``marts.v_daily_pnl``) and return its whole result; with ``limit`` a
     preview of that many rows."""
-    out = t.spark.sql(named_sql(t, sql_text))
+    out = run_sql(t, sql_text)
     return out if limit is None else out.limit(limit)
 
 

@@ -229,26 +229,64 @@ def register_views(tables: Tables, marts: bool = True, replace: bool = False) ->
 _SKIPPED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
 
 
-def named_sql(tables: Tables, sql_text: str) -> str:
-    """``sql_text`` with the names of the tables (``raw.fact_orders``) and mart
-    views (``marts.v_daily_pnl``) bound to ``tables``: each table it names
-    becomes a temp view with a name of its own, so views of the session are
-    neither replaced nor mistaken. A bare name means our table unless the
-    session has one of that name. Texts in quotes and comments stay."""
+def run_sql(tables: Tables, sql_text: str) -> DataFrame:
+    """The result of ``sql_text`` with the names of the tables
+    (``raw.fact_orders``) and mart views (``marts.v_daily_pnl``) bound to
+    ``tables``. Spark's parser says which names are relations, so columns,
+    aliases, texts and other databases' tables of such a name stay. A bare name
+    means our table unless the session or a WITH clause has one of that name.
+    The views made for it have names of their own and are dropped once the
+    statement is analysed."""
     spark = tables.spark
     raw, marts = dict(tables.items()), _mart_builders()
     bound: dict[str, str] = {}
-    pattern = rf"{_SKIPPED}|\b(?:(raw|marts)\s*\.\s*)?({'|'.join([*raw, *marts])})\b"
-
-    def view(m: re.Match) -> str:
-        if not m[2]:
-            return m[0]
-        space, name = (m[1] or "").lower(), m[2].lower()
-        if space and (name in raw) != (space == "raw") or not space and spark.catalog.tableExists(name):
-            return m[0]
-        if name not in bound:
-            bound[name] = f"marginlens_{uuid.uuid4().hex[:10]}_{name}"
-            (raw[name] if name in raw else marts[name](tables)).createOrReplaceTempView(bound[name])
-        return bound[name]
-
-    return re.sub(pattern, view, sql_text, flags=re.IGNORECASE | re.DOTALL)
+    out, done = [], 0
+    relations, ctes = _relations(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql_text))
+
+    def unqualified(text: str) -> str:
+        """Columns as ``raw.dim_sku.sku_id`` follow their table, whose alias has no ``raw``."""
+        own = "|".join(bound)
+        return re.sub(rf"{_SKIPPED}|\b(?:raw|marts)\s*\.\s*((?:{own})\s*\.)", lambda m: m[1] or m[0], text, flags=re.IGNORECASE | re.DOTALL) if own else text
+
+    try:
+        for start, stop, parts, aliased in sorted(relations):
+            name, space = parts[-1].lower(), ".".join(parts[:-1]).lower()
+            ours = name in raw or name in marts
+            if space:
+                ours = ours and space == ("raw" if name in raw else "marts")
+            else:
+                ours = ours and name not in ctes and not spark.catalog.tableExists(name)
+            if ours:
+                if name not in bound:
+                    bound[name] = f"marginlens_{uuid.uuid4().hex[:10]}_{name}"
+                    (raw[name] if name in raw else marts[name](tables)).createOrReplaceTempView(bound[name])
+                out += [(sql_text[done:start], True), (bound[name] + ("" if aliased else f" AS {name}"), False)]
+            else:
+                out += [(sql_text[done:start], True), (sql_text[start:stop], False)]
+            done = stop
+        out.append((sql_text[done:], True))
+        return spark.sql("".join(unqualified(text) if free else text for text, free in out))
+    finally:
+        for view in bound.values():
+            spark.catalog.dropTempView(view)
+
+
+def _relations(plan) -> tuple[list[tuple[int, int, tuple[str, ...], bool]], set[str]]:
+    """(start, end, name parts, has an alias) of every relation that a parsed
+    plan names, and the names its WITH clauses define."""
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    found, ctes, left = [], set(), [(plan, False)]
+    while left:
+        node, aliased = left.pop()
+        kind = node.nodeName()
+        if kind == "UnresolvedRelation":
+            at = node.origin()
+            parts = tuple(each(node.multipartIdentifier()))
+            found.append((at.startIndex().get(), at.stopIndex().get() + 1, parts, aliased))
+        if kind == "UnresolvedWith":
+            ctes |= {c._1().lower() for c in each(node.cteRelations())}
+            left += [(c._2(), False) for c in each(node.cteRelations())]
+        # No alias may stand between a name and its TABLESAMPLE.
+        left += [(c, kind in ("SubqueryAlias", "Sample")) for c in each(node.children())]
+        left += [(c, False) for c in each(node.subqueries())]
+    return found, ctes

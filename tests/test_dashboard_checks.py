@@ -191,3 +191,29 @@ def test_adhoc_sql_with_qualified_names_keeps_the_session_views(spark):
     finally:
         for name in set(names) | {"v_daily_pnl"}:
             spark.catalog.dropTempView(name)
+
+
+def test_adhoc_sql_binds_relations_only(spark, tmp_path):
+    t = make_tables(spark, orders=[order("O1", sku_id="S1"), order("O2", sku_id="S1")], skus=[("S1", "Shirts", D(9), D(3), D(1))])
+    views = {v.name for v in spark.catalog.listTables() if v.isTemporary}
+    run = lambda text: rows(questions.adhoc_sql(t, text))
+    assert run("SELECT COUNT(*) AS dim_sku FROM raw.dim_sku") == [{"dim_sku": 1}]
+    assert run("SELECT dim_sku.sku_id AS fact_orders FROM dim_sku") == [{"fact_orders": "S1"}]
+    assert run("SELECT raw.dim_sku.sku_id FROM raw.dim_sku") == [{"sku_id": "S1"}]
+    assert run("SELECT 'é😀' AS x, dim_sku.sku_id FROM raw.fact_orders JOIN raw.dim_sku USING (sku_id)") == [{"x": "é😀", "sku_id": "S1"}] * 2
+    # A WITH clause's own name, subqueries, a table twice, a view over both.
+    assert run("WITH dim_sku AS (SELECT 5 AS n) SELECT n FROM dim_sku") == [{"n": 5}]
+    assert run("WITH a AS (SELECT sku_id FROM dim_sku) SELECT COUNT(*) AS n FROM fact_orders o WHERE o.sku_id IN (SELECT sku_id FROM a)") == [{"n": 2}]
+    assert run("SELECT (SELECT COUNT(*) FROM raw.fact_orders) AS n FROM dim_sku WHERE EXISTS (SELECT 1 FROM fact_orders f WHERE f.sku_id = dim_sku.sku_id)") == [{"n": 2}]
+    assert run("SELECT COUNT(*) AS n FROM fact_orders a JOIN fact_orders b ON a.sku_id = b.sku_id") == [{"n": 4}]
+    assert run("SELECT COUNT(*) AS n FROM fact_orders TABLESAMPLE (100 PERCENT)") == [{"n": 2}]
+    spark.sql("CREATE DATABASE IF NOT EXISTS mydb")
+    spark.range(3).write.mode("overwrite").option("path", str(tmp_path / "own")).saveAsTable("mydb.dim_sku")
+    try:
+        assert len(run("SELECT * FROM mydb.dim_sku")) == 3
+    finally:
+        spark.sql("DROP TABLE mydb.dim_sku")
+        spark.sql("DROP DATABASE mydb")
+    with pytest.raises(Exception, match="no_such"):
+        run("SELECT no_such FROM dim_sku")
+    assert {v.name for v in spark.catalog.listTables() if v.isTemporary} == views
