@@ -16,7 +16,7 @@ from marginlens.plans import registry
 RAW = "region nation customer supplier part orders lineitem events".split()
 ORACLE = entry.oracle_sql()
 QUERIES = entry.queries()
-OWN = sorted(s.name for s in registry.SPECS)
+OWN = sorted([s.name for s in registry.SPECS] + list(registry.OF_SOURCE))
 
 
 @pytest.fixture(scope="module")
