@@ -1,5 +1,9 @@
 """The registered queries of this subpackage: each applies its operator, with
-production parameters, to its whole table and derives the contract's columns."""
+production parameters, to its whole table and derives the contract's columns.
+
+For all of them: an empty table gives no rows; columns other than those the
+contract names are not read, so extra ones may have any name; texts are taken
+whole, however long; repeated rows are answered one by one unless said otherwise."""
 
 from __future__ import annotations
 
@@ -23,48 +27,81 @@ SHINGLE, RADIUS = 4, 4
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every row of ``documents``. Null text or text
+    without a letter: ``und``, score 0. A null id is not held out and not learned
+    from. Languages that score alike: the first in alphabetical order. Without
+    training rows all are ``und``."""
     docs = table(spark, sf_dir, "documents")
     found = lang_id.predict(docs, lang_id.learn(docs, learned(F.col("doc_id"), 5, 0)))
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of ids and decoded bytes of every row of
+    ``documents``. Null and empty text: no tokens, digests of nothing. Null ids
+    are rows like others."""
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ``documents`` and ``benchmark`` rows where the item's template
+    stands in the document: a row per pair of ids, whatever repeats. Null ids,
+    null and empty texts on either side are in no pair; of alignments with equally
+    many windows the first counts; an empty ``benchmark`` gives no rows."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and scores of every row of ``documents``. Null and empty text:
+    the end alone. A null id is not held out and not learned from. Without
+    training rows no token is known and every byte has probability 1/256."""
     found = suffix_tree_lm.scores(table(spark, sf_dir, "documents"), learned(F.col("doc_id"), 7, 2))
     return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``. Null, empty
+    and wordless texts have fingerprint zero and are linked like others. A
+    component of null ids only has a null component_id."""
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, RADIUS)
     return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every query row of ``embeddings``. Vectors that are
+    null, zero, hold null or non-finite components or differ in length from most
+    take no part, nor do null ids. Ties go to the smaller vec_id; an id repeated
+    on several rows is never its own neighbour."""
     return projected_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per license notice of ``documents``, with its span. Null and empty
+    texts give none; a null id is returned as it is; templates that save equally
+    many bytes are tried in their listed order."""
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every row of ``pages``. A null url or one
+    without ``://`` has an empty host and path, no rule, and is allowed. The
+    longest host, then the longest path, wins."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets of every row of ``documents``. Null and empty
+    texts have none and the digest of the empty string. Null ids are rows like
+    others. Spans that start together stand in the order of the kinds."""
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every row of ``documents``. Null text counts as
+    empty, and empty texts are scored. A null id is not held out and not learned
+    from. Without labelled rows the score is 0.5."""
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     predicted = (F.col("score") >= KEEP_FROM).cast("int")
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
