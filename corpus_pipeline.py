@@ -54,7 +54,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     where the text changed. Null and empty texts stay as they are."""
     kind = docs.schema["n_chars"].dataType
     clean = docs.withColumn("__clean", secret_scan.redacted(F.col("text")))
-    size = F.when(F.col("__clean") == F.col("text"), F.col("n_chars")).otherwise(F.length("__clean").cast(kind))
+    size = F.when(F.col("__clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__clean").cast(kind))
     return clean.withColumn("n_chars", size).withColumn("text", F.col("__clean")).select(docs.columns)
 
 
