@@ -119,3 +119,9 @@ def test_stages_with_nulls_repeats_and_clashing_columns(spark, make_docs, tmp_pa
     assert 2 not in left  # the benchmark's item
     assert left.count(1) == 1 and 3 in left and 300 in left
     assert not set(range(60, 100)) & set(left)
+
+
+def test_secrets_stage_keeps_rows_without_a_text(spark, make_docs):
+    docs = make_docs([(1, None), (None, ""), (3, "password = hunter2hunter2")]).selectExpr("doc_id", "text", "lang", "source", "coalesce(n_chars, 7L) AS n_chars")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.secret_stage(spark, docs, "").collect()}
+    assert got == {1: (None, 7), None: ("", 0), 3: ("[assign]", 8)}
