@@ -11,14 +11,17 @@ deviations) go; the others are confirmed on both full sets.
 
 Equal sets are one row from the start. Buckets aren't expanded to pairs: a
 round compares all members of a bucket with a pivot, merges what is
-confirmed, and drops the buckets whose members are one component by then.
-In the next round each remaining bucket has more pivots (``PIVOTS``). A pivot has
-met its whole bucket and leaves it, and pairs within a component are not
-compared, so a bucket of n near copies costs n pairs, and one of unlike
-documents is worked off in few rounds. The result is that of all
-pairs. Members meet pivots, and pairs their sets, slice by slice (see
-``functions.slices``), so neither a large bucket nor a pivot of many pairs is
-one task.
+confirmed, and drops the buckets whose members are one component by then. A
+pivot has met its whole bucket and leaves it, and pairs within a component are
+not compared, so a bucket of n near copies costs n pairs. Rounds go on, with
+more pivots each, while a round settles half of the memberships before it.
+What is left are copies just under the limit, for which every pair has to be
+looked at: the texts whose open buckets are connected are dealt to blocks of a
+bounded number of shingles, and each pair of blocks is compared in one task, by
+signatures first and full sets then, which returns a spanning forest of the
+links and no pairs. The result is that of all pairs. Members meet pivots, and
+pairs their sets, slice by slice (see ``functions.slices``), so neither a large
+bucket nor a pivot of many pairs is one task.
 
 A document with fewer words than a shingle has one shingle, its whole words;
 one without words (null or empty text) has none and links with nothing: its
@@ -35,6 +38,7 @@ from __future__ import annotations
 from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -50,8 +54,9 @@ HASHES = BANDS * ROWS
 LOW_BITS = 4
 LANES = 64 // LOW_BITS
 MARGIN = 0.15
-#: Pivots a bucket in each round; from the last on eight times as many each round.
-PIVOTS = (1, 2, 4, 16, 128)
+#: Shingles of a block: few, so that a group is many tasks, until it has
+#: ``BLOCKS`` blocks; then as many as a task holds well, so that little is dealt twice.
+FEW, MOST, BLOCKS = 1 << 17, 1 << 21, 8
 #: Keys of texts that are sent to every task, 8 bytes each; beyond it the texts are joined.
 MOST_KEYS = 1 << 22
 
@@ -146,6 +151,16 @@ def estimate(a: str, b: str) -> Column:
     return (equal - chance) / (1 - chance)
 
 
+def estimates(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """``estimate`` of each of the signatures ``sigs`` with ``sig``."""
+    x = sigs ^ sig
+    for s in [1] * (LOW_BITS - 1):
+        x = x | (x >> np.uint64(s))
+    ones = np.uint64(sum(1 << (LOW_BITS * i) for i in range(LANES)))
+    equal = 1.0 - np.bitwise_count(x & ones).sum(1, dtype=np.int64) / HASHES
+    return (equal - 2.0**-LOW_BITS) / (1 - 2.0**-LOW_BITS)
+
+
 def _text_key() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
@@ -253,6 +268,64 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return met.select("pivot", "id", linked.alias("linked"))
 
 
+def _open_links(members: DataFrame, sign: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what all similar pairs of ``members`` (slice,
+    bucket, id, part) of different parts connect. ``full`` holds all their sets."""
+    lead = members.select(SLICE, "bucket").distinct().join(members.groupBy("bucket").agg(F.min("id").alias("lead")), "bucket")
+    shared = members.join(lead, [SLICE, "bucket"]).select(F.col("lead").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    group = connected_components(saved(shared, "minhash-shared")).select(F.col("node").alias("id"), F.col("root").alias("grp"))
+    own = members.select("id", "part").distinct().join(group, "id").join(sign, "id")
+    blocks = F.greatest(F.ceil(F.sum("n") / MOST), F.least(F.lit(BLOCKS), F.ceil(F.sum("n") / FEW)))
+    own = own.join(own.groupBy("grp").agg(blocks.alias("blocks")), "grp").join(full, "id")
+    own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "id", "part", "n", "sig", "all")
+
+    def run(frame):
+        second = frame["second"].to_numpy()
+        if frame["i"].iat[0] == frame["j"].iat[0]:
+            second = np.zeros(len(frame), bool)
+        return pd.DataFrame(_block_links(frame, second, percent), columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _block_links(frame, second: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the two blocks of ``frame``, or
+    within its one block, beyond what its parts connect already."""
+    ids, n = frame["id"].to_numpy(), frame["n"].to_numpy()
+    sig = np.stack(frame["sig"].to_numpy()).view(np.uint64)
+    _, part = np.unique(frame["part"].to_numpy(), return_inverse=True)
+    sets = frame["all"].to_numpy()
+    out: list[tuple[int, int]] = []
+    sides = [(~second, second), (second, ~second)] if second.any() else [(~second, ~second)]
+    # Of two parts that differ one isn't the largest: its members ask.
+    asks = part != np.bincount(part).argmax()
+    for asking, asked in sides:
+        queries, at = np.flatnonzero(asking & asks), np.flatnonzero(asked)
+        if not len(queries) or not len(at):
+            continue
+        known, place = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in at])[:-1]])
+        held = np.zeros(len(known) + 1, bool)
+        for q in queries:
+            maybe = (part[at] != part[q]) & (100 * np.minimum(n[at], n[q]) >= percent * np.maximum(n[at], n[q]))
+            if maybe.any():
+                maybe[maybe] = estimates(sig[at[maybe]], sig[q]) >= percent / 100 - MARGIN
+            if not maybe.any():
+                continue
+            where = np.searchsorted(known, sets[q])
+            where = where[known[np.minimum(where, len(known) - 1)] == sets[q]]
+            held[where] = True
+            both = np.add.reduceat(held[place], starts, dtype=np.int64)
+            held[where] = False
+            for i in at[maybe & ((100 + percent) * both >= percent * (n[at] + n[q]))]:
+                if part[i] != part[q]:
+                    part[part == part[i]] = part[q]
+                    out.append((int(ids[q]), int(ids[i])))
+    return out
+
+
 def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame | None:
     """(id, root) of the linked ids of ``sets`` (id, n, sig, bands, text_key),
     as all similar pairs connect them, the misses named above aside; None without a common bucket."""
@@ -260,16 +333,26 @@ def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
     # Dealt by range, so a large bucket lies in several slices.
     members = _shared_buckets(rows).select(SLICE, "bucket", "id", F.col("id").alias("part"))
     sign = sets.select("id", "n", "sig")
-    found = rejected = full = roots = None
-    spark, round_ = docs.sparkSession, 0
+    found = full = roots = None
+    spark, wide = docs.sparkSession, 1
+    count, settled = members.count(), True
     kept = []  # what later rounds read
-    while not members.isEmpty():
+
+    def with_sets(ids: DataFrame) -> DataFrame:
+        if full is not None:
+            ids = ids.join(full.select("id"), "id", "left_anti")
+        wanted = saved(ids.join(sets.select("id", "text_key"), "id"), "minhash-wanted")
+        if full is not None and wanted.isEmpty():
+            return full
+        kept.append(saved(_full_sets(docs, wanted, size), "minhash-sets"))
+        return kept[-1] if full is None else full.unionByName(kept[-1])
+
+    while count and settled:
         since = mark()
-        wide = PIVOTS[round_] if round_ < len(PIVOTS) else PIVOTS[-1] * 8 ** (round_ - len(PIVOTS) + 1)
         # The same pivots in all buckets where it can be.
-        draw = F.xxhash64(F.lit(round_), F.col("id"))
+        draw = F.xxhash64(F.lit(wide), F.col("id"))
         sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", draw).alias("chosen"))
-        if round_:
+        if wide > 1:
             of = members.select(SLICE, "bucket").distinct().join(sizes, "bucket")
             share = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
             picked = members.join(of, [SLICE, "bucket"]).where((F.col("id") == F.col("chosen")) | (share < float(wide) / F.col("n")))
@@ -284,23 +367,12 @@ def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
         met = met.select("id", "pivot", "p_n", "p_sig").dropDuplicates(["id", "pivot"]).join(sign, "id")
         met = met.where(_close_in_size("n", "p_n", percent) & (estimate("sig", "p_sig") >= percent / 100 - MARGIN)).select("id", "pivot")
         # Where both are pivots, the pair stands once.
-        pairs = met.select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct() if round_ else met
-        if rejected is not None:
-            pairs = pairs.join(rejected, [F.least(pairs.id, pairs.pivot) == rejected.a, F.greatest(pairs.id, pairs.pivot) == rejected.b], "left_anti")
+        pairs = met.select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct()
         pairs = saved(pairs, "minhash-candidates")
-        ends = pairs.select("id").union(pairs.select(F.col("pivot").alias("id"))).distinct()
-        if full is not None:
-            ends = ends.join(full.select("id"), "id", "left_anti")
-        wanted = saved(ends.join(sets.select("id", "text_key"), "id"), "minhash-wanted")
-        if full is None or not wanted.isEmpty():
-            new = saved(_full_sets(docs, wanted, size), "minhash-sets")
-            kept.append(new)
-            full = new if full is None else full.unionByName(new)
+        full = with_sets(pairs.select("id").union(pairs.select(F.col("pivot").alias("id"))).distinct())
         kept.append(saved(_confirmed(pairs, full, percent), "minhash-judged"))
-        judged = kept[-1].select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "linked")
-        right, wrong = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
+        right = kept[-1].where("linked").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         found = right if found is None else found.unionByName(right)
-        rejected = wrong if rejected is None else rejected.unionByName(wrong)
         of = connected_components(found)
         roots = of.select(F.col("node").alias("id"), "root")
         left = members.drop("part").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
@@ -310,7 +382,15 @@ def components(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
         spans = left.select(SLICE, "bucket").distinct().join(open_, "bucket")
         members = saved(left.join(spans, [SLICE, "bucket"]).select(SLICE, "bucket", "id", "part"), "minhash-members")
         forget(spark, since, [of, members, *kept])
-        round_ += 1
+        before, count = count, members.count()
+        settled, wide = 2 * count <= before, 2 * wide
+    if count:
+        since = mark()
+        full = with_sets(members.select("id").distinct())
+        new = saved(_open_links(members, sign, full, percent), "minhash-links")
+        of = connected_components(found.unionByName(new))
+        roots = of.select(F.col("node").alias("id"), "root")
+        forget(spark, since, [of])
     return roots
 
 

@@ -89,6 +89,32 @@ def test_chains_hubs_and_pairs_near_the_limit(spark, make_docs):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("few", [300, 1 << 17])
+def test_copies_just_under_the_limit_are_compared_in_blocks(spark, make_docs, monkeypatch, few):
+    """A large group with about half of its pairs under the limit, some linked
+    only through others: many pairs of blocks, and a single block."""
+    monkeypatch.setattr(bbit_minhash, "FEW", few)
+    seen = []
+    real = bbit_minhash._open_links
+    monkeypatch.setattr(bbit_minhash, "_open_links", lambda *a: seen.append(1) or real(*a))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, edited(rng, base, rng.choice((1, 3, 4, 5, 6, 7)))) for i in range(150)]
+    docs += [(i + 1000, edited(rng, [f"v{i}" for i in range(50)], 3)) for i in range(40)]
+    want = by_definition(docs)
+    assert got(bbit_minhash.near_duplicates(make_docs(docs))) == want
+    assert seen and 20 < len({c for _, _, c in want}) < 180
+
+
+def test_estimates_are_those_of_the_columns(spark):
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(-(2**63), 2**63, (50, bbit_minhash.HASHES // bbit_minhash.LANES), np.int64)
+    sigs[1:25] ^= sigs[1:25] & sigs[25:49]
+    df = spark.createDataFrame([(r.tolist(), sigs[0].tolist()) for r in sigs], "a array<long>, b array<long>")
+    got = [r[0] for r in df.select(bbit_minhash.estimate("a", "b")).collect()]
+    assert np.allclose(got, bbit_minhash.estimates(sigs.view(np.uint64), sigs[0].view(np.uint64)))
+
+
 def test_nulls_empty_short_repeats_and_clashing_columns(spark, make_docs):
     long = " ".join(f"t{i % 997}" for i in range(40_000))
     docs = [(4, None), (3, ""), (3, ""), (2, " \n\t"), (None, None), (None, "one text without id"), (None, "one text without id")]
