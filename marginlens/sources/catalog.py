@@ -12,8 +12,8 @@ Layout chosen for the query mix:
   * inside each bucket, rows are sorted by date (order_date / return_date),
     so parquet row-group min/max statistics let a date-window query (the daily
     report) skip most of each file.
-  * the bucket count follows the source's bytes (about a GiB each); it can be
-    set with ``marginlens.buckets``.
+  * the bucket count follows the rows: a bucket holds as many as one task sorts
+    and groups in a few hundred MB; it can be set with ``marginlens.buckets``.
 
 Files go under the shared folder the session names in ``spark.checkpoint.dir``
 (the SparkContext checkpoint directory). Only a local session without one gets
@@ -86,6 +86,22 @@ def bucket_count(spark: SparkSession, source_bytes: int | None) -> int:
     return wanted
 
 
+BUCKET_ROW_BYTES = 128 * 1024 * 1024  # a bucket's rows in memory; sorts, joins and distinct counts hold several times that
+LINE_BYTES = 256  # an order line in memory: twenty columns of 8 bytes and seven texts
+EXPANSION = 8  # bytes in memory for a byte of a source file, where its rows aren't counted
+
+
+def fact_buckets(spark: SparkSession, source_bytes: int | None, row_bytes: int | None) -> int:
+    """Buckets by what their rows take in a task's memory, which compressed
+    source bytes don't tell: ``BUCKET_ROW_BYTES`` each, as far as Spark allows so
+    many buckets, and never fewer than ``bucket_count``."""
+    least = bucket_count(spark, source_bytes)
+    if row_bytes is None or spark.conf.get("marginlens.buckets", None):
+        return least
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return max(least, min(most, -(-row_bytes // BUCKET_ROW_BYTES)))
+
+
 def planned_bytes(df: DataFrame) -> int | None:
     """The size Spark's planner takes for ``df`` (file sizes, for a plain
     scan); None where it knows none, as for rows from the driver."""
@@ -125,7 +141,9 @@ def materialize(spark: SparkSession, tables: Tables, root: str, buckets: int | N
     a catalog property, so it needs ``saveAsTable``); the data sits at an
     explicit path under ``root``. Dimensions and spend are plain parquet.
     """
-    buckets = buckets or bucket_count(spark, planned_bytes(tables.fact_orders))
+    if not buckets:
+        source_bytes = planned_bytes(tables.fact_orders)
+        buckets = fact_buckets(spark, source_bytes, source_bytes and EXPANSION * source_bytes)
     token = uuid.uuid4().hex[:10]
     out = {}
     for name, df in tables.items():
@@ -176,7 +194,8 @@ def release(spark: SparkSession) -> None:
 def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
     token = uuid.uuid4().hex[:10]
     root = f"{storage_root(spark)}/marginlens/{os.path.basename(os.path.abspath(sf_dir))}-{token}"
-    buckets = bucket_count(spark, input_bytes(spark, os.path.join(sf_dir, "lineitem.parquet")))
+    rows = testdata.read_source(spark, sf_dir, "lineitem").count()  # from the files' footers
+    buckets = fact_buckets(spark, input_bytes(spark, os.path.join(sf_dir, "lineitem.parquet")), rows * LINE_BYTES)
     lines = _write_bucketed(
         spark, testdata.order_lines(spark, sf_dir), f"{root}/order_lines", f"marginlens_{token}_order_lines",
         "order_date", buckets,

@@ -6,6 +6,7 @@ import os
 
 import pytest
 from conftest import SF_SMALL, make_tables, order, ret
+from pyspark.sql import functions as F
 
 from marginlens.sources import catalog, testdata
 
@@ -70,3 +71,32 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         catalog.storage_root(Session())
+
+
+def test_buckets_follow_the_rows(spark):
+    """216 million lines lie in 4 GB of source files; a task must not hold a twelfth of them."""
+    least = spark.sparkContext.defaultParallelism
+    assert catalog.fact_buckets(spark, 10**6, 1000 * catalog.LINE_BYTES) == least
+    some, more = (catalog.fact_buckets(spark, n * 18, n * catalog.LINE_BYTES) for n in (36_000_000, 216_000_000))
+    assert max(36_000_000 / some, 216_000_000 / more) < 600_000
+    assert catalog.fact_buckets(spark, 100 * 10**12, 10**15) == 100_000  # as many as Spark allows, still one per GiB
+    assert catalog.fact_buckets(spark, 50 * 2**30, None) == max(50, least)
+    spark.conf.set("marginlens.buckets", "7")
+    try:
+        assert catalog.fact_buckets(spark, 10**9, 10**15) == 7
+    finally:
+        spark.conf.unset("marginlens.buckets")
+
+
+def test_a_bucket_stays_small_as_the_rows_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "_loaded", {})
+    monkeypatch.setattr(catalog, "_written", {})
+    monkeypatch.setattr(catalog, "storage_root", lambda spark: str(tmp_path))
+    monkeypatch.setattr(catalog, "BUCKET_ROW_BYTES", 100 * catalog.LINE_BYTES)
+    t = catalog.load_test_tables(spark, SF_SMALL)
+    (root,) = (tmp_path / "marginlens").iterdir()
+    lines = spark.read.parquet(str(root / "order_lines")).groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert lines[0] <= 200 and lines[1] == t.fact_orders.count() > 5000
+    names = sorted(f.rpartition("_")[2] for f in os.listdir(root / "order_lines") if f.startswith("part-"))
+    assert len(set(names)) == len(names) > 50
+    catalog.release(spark)
