@@ -109,12 +109,14 @@ def planned_bytes(df: DataFrame) -> int | None:
     return size if size < 2**60 else None
 
 
-def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, table: str, sort_key: str, buckets: int) -> DataFrame:
+def _write_bucketed(
+    spark: SparkSession, df: DataFrame, path: str, table: str, sort_key: str, buckets: int, dealt: bool = False
+) -> DataFrame:
     """Write ``df`` as a table bucketed by ``order_id`` and sorted by
     ``sort_key`` inside each bucket, one file per bucket; return it read back
-    from the catalog."""
+    from the catalog. ``dealt``: its partitions are the buckets already."""
     (
-        df.repartition(buckets, BUCKET_KEY)
+        (df if dealt else df.repartition(buckets, BUCKET_KEY))
         .write.mode("overwrite")
         .bucketBy(buckets, BUCKET_KEY)
         .sortBy(sort_key)
@@ -197,8 +199,8 @@ def _load_and_write(spark: SparkSession, sf_dir: str) -> Tables:
     rows = testdata.read_source(spark, sf_dir, "lineitem").count()  # from the files' footers
     buckets = fact_buckets(spark, input_bytes(spark, os.path.join(sf_dir, "lineitem.parquet")), rows * LINE_BYTES)
     lines = _write_bucketed(
-        spark, testdata.order_lines(spark, sf_dir), f"{root}/order_lines", f"marginlens_{token}_order_lines",
-        "order_date", buckets,
+        spark, testdata.order_lines(spark, sf_dir, buckets), f"{root}/order_lines", f"marginlens_{token}_order_lines",
+        "order_date", buckets, dealt=True,
     )
     returns = _write_bucketed(
         spark, testdata.returns_from_lines(lines), f"{root}/fact_returns", f"marginlens_{token}_fact_returns",

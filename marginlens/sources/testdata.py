@@ -47,16 +47,19 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def sku_frame(part: DataFrame) -> DataFrame:
+def sku_columns() -> list[Column]:
     mrp = F.col("p_retailprice").cast("decimal(10,2)")
-    return part.select(
-        F.col("p_partkey"),
+    return [
         F.concat(F.lit("SK"), F.col("p_partkey").cast("string")).alias("sku_id"),
         F.col("p_type").alias("category"),
         mrp.alias("mrp"),
         (mrp * dec("0.35")).cast("decimal(10,2)").alias("cogs"),
         (F.lit(15) + F.col("p_size") % 20).cast("decimal(10,2)").alias("packaging_cost"),
-    )
+    ]
+
+
+def sku_frame(part: DataFrame) -> DataFrame:
+    return part.select("p_partkey", *sku_columns())
 
 
 def store_frame(supplier: DataFrame) -> DataFrame:
@@ -70,16 +73,20 @@ def store_frame(supplier: DataFrame) -> DataFrame:
     )
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> DataFrame:
     """One row per lineitem with every fact_orders column plus the few line
-    attributes that decide returns (``_flag``, ``_line``, ``_supp``, ``_part``)."""
+    attributes that decide returns (``_flag``, ``_line``, ``_supp``, ``_part``).
+
+    With ``buckets`` the rows are dealt by order_id into as many partitions,
+    and before the columns are derived: the source's few columns are shuffled
+    instead of the twenty they become."""
     lineitem = read_source(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"
     )
     orders = read_source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = read_source(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = read_source(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    skus = sku_frame(read_source(spark, sf_dir, "part"))
+    part = read_source(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice", "p_size")
 
     order_head = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", F.to_date("o_orderdate").alias("order_date"), "c_nationkey"
@@ -91,8 +98,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         lineitem.join(order_head.hint("merge"), lineitem.l_orderkey == order_head.o_orderkey)
         .join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
-        .join(skus, lineitem.l_partkey == skus.p_partkey)
+        .join(part, lineitem.l_partkey == part.p_partkey)
+        .select(*lineitem.columns, "order_date", "c_nationkey", "s_nationkey", "p_type", "p_retailprice", "p_size")
     )
+    order_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    if buckets:
+        lines = lines.repartition(buckets, order_id)
+    lines = lines.withColumn("p_partkey", F.col("l_partkey")).select("*", *sku_columns())
 
     offline = F.col("l_partkey") % 50 == 0
     channel = F.when(offline, F.lit("OFFLINE")).otherwise(channel_of(F.col("l_orderkey")))
@@ -109,9 +121,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         rate = F.when(channel == name, dec(r)).otherwise(rate)
 
     staged = lines.select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias(
-            "order_id"
-        ),
+        order_id.alias("order_id"),
         "order_date",
         F.when(offline, city_of(F.col("s_nationkey"))).otherwise(city_of(F.col("c_nationkey"))).alias("city"),
         channel.alias("channel"),

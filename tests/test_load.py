@@ -100,3 +100,15 @@ def test_a_bucket_stays_small_as_the_rows_grow(spark, tmp_path, monkeypatch):
     names = sorted(f.rpartition("_")[2] for f in os.listdir(root / "order_lines") if f.startswith("part-"))
     assert len(set(names)) == len(names) > 50
     catalog.release(spark)
+
+
+def test_lines_are_dealt_before_their_columns_are_derived(spark):
+    dealt = testdata.order_lines(spark, SF_SMALL, 7)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("RepartitionByExpression")
+    for name in ("selling_price", "gross_revenue", "commission", "packaging_cost", "store_id", "city", "channel"):
+        assert f" AS {name}#" in above and f" AS {name}#" not in below
+    assert dealt.where(F.spark_partition_id() != F.pmod(F.hash("order_id"), F.lit(7))).count() == 0
+    plain = testdata.order_lines(spark, SF_SMALL)
+    assert dealt.schema == plain.schema
+    assert dealt.exceptAll(plain).count() == 0 and plain.exceptAll(dealt).count() == 0
