@@ -25,7 +25,7 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import order_rows_per_key, returns_per_order, shared_view
+from .common import count_first, first_of_order, order_rows_per_key, returns_per_order, shared_view
 
 PNL_KEYS = ["order_date", "city", "channel", "category"]
 
@@ -67,10 +67,10 @@ def pnl_groups_of(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """
     keys = PNL_KEYS
     returns = returns_per_order(t, orders=orders)
-    j = (t.fact_orders if orders is None else orders).join(returns, "order_id", "left")
+    j = first_of_order(t.fact_orders if orders is None else orders, *keys).join(returns, "order_id", "left")
     attached = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return j.groupBy(*keys).agg(
-        F.countDistinct("order_id").alias("order_count"),
+        count_first().alias("order_count"),
         F.sum("qty").alias("units_sold"),
         sum_cents(cents("mrp") * F.col("qty")).alias("gross_mrp"),
         money_sum("gross_revenue").alias("gross_revenue"),
