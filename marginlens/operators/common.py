@@ -78,8 +78,12 @@ def order_rows_per_key(t: Tables, *cols: str) -> DataFrame:
     carry that id and those attributes. Joining returns to this instead of
     to the order rows, and weighting by ``k``, gives the same sums as the
     row-level join while emitting one row per distinct key, however often an
-    id repeats. Local to the order_id buckets (no shuffle)."""
-    return t.fact_orders.groupBy("order_id", *cols).agg(F.count(F.lit(1)).alias("k"))
+    id repeats. Local to the order_id buckets (no shuffle), by one sort that
+    the join on the order id uses as well."""
+    of_key = Window.partitionBy("order_id", *cols).orderBy("order_id")
+    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = t.fact_orders.select("order_id", *cols, F.count(F.lit(1)).over(whole).alias("k"), F.row_number().over(of_key).alias("_row"))
+    return counted.where(F.col("_row") == 1).drop("_row")
 
 
 def max_order_date_col(t: Tables) -> Column:
