@@ -33,7 +33,7 @@ from ..functions.measures import (
     zero_if_null,
 )
 from ..sources.tables import Tables
-from .common import last_order_date, returns_per_order
+from .common import count_first, first_of_order, last_order_date, returns_per_order
 from .dashboard import top_reasons
 
 LOOKBACK_DAYS = 7
@@ -63,11 +63,11 @@ def daily_sums(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     the date with ``=``, so the NULL-date group gets no refunds (``dated``)."""
     returns = returns_per_order(t, orders=orders)
     orders = t.fact_orders if orders is None else orders
-    j = orders.join(returns, "order_id", "left")
+    j = first_of_order(orders, "order_date").join(returns, "order_id", "left")
     dated = F.col("order_date").isNotNull()
     return j.groupBy("order_date").agg(
         money_sum("gross_revenue").alias("revenue"),
-        F.countDistinct("order_id").alias("orders"),
+        count_first().alias("orders"),
         money_sum("commission").alias("commission"),
         money_sum("cogs").alias("cogs"),
         money_sum("packaging_cost").alias("pack"),

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF_SMALL, make_tables, order, ret
 from pyspark.sql import functions as F
 
-from marginlens.operators import marts
+from marginlens.operators import daily, marts
 from marginlens.operators.common import count_first, first_of_order, order_rows_per_key
 from marginlens.plans import registry
 from marginlens.sources.catalog import load_test_tables
@@ -59,7 +59,7 @@ def _order_sorts(plan: str) -> int:
     return len(re.findall(r"Sort \[order_id#", plan))
 
 
-@pytest.mark.parametrize("name", ["daily_pnl", "returns_analytics"])
+@pytest.mark.parametrize("name", ["daily_pnl", "daily_anomalies", "returns_analytics"])
 def test_order_rows_are_sorted_once_and_not_held_in_maps(spark, t, name):
     plan = _sorted_plan(spark, registry.apply(t, name))
     assert not _held_orders(plan)
@@ -84,3 +84,9 @@ def test_order_rows_per_key_with_repeats_and_nulls(odd):
     got = order_rows_per_key(odd, "category", "order_date")
     want = odd.fact_orders.groupBy("order_id", "category", "order_date").agg(F.count(F.lit(1)).alias("k"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_daily_sums_with_repeats_and_nulls(odd):
+    got = {r["order_date"] and str(r["order_date"]): (r["orders"], r["revenue"]) for r in daily.daily_sums(odd).collect()}
+    want = odd.fact_orders.groupBy("order_date").agg(F.countDistinct("order_id").alias("orders"), F.sum("gross_revenue").alias("revenue"))
+    assert got == {r["order_date"] and str(r["order_date"]): (r["orders"], r["revenue"]) for r in want.collect()}
