@@ -173,14 +173,16 @@ def _return_rate(t: Tables, keys: tuple[str, ...], part: DataFrame | None = None
     done to them, in one scan of each fact; without, they are deduplicated
     first, so an id repeated in both facts doesn't multiply."""
     keys = list(keys)
-    orders = (t.fact_orders if part is None else part).select(*keys, "order_id").distinct()
+    orders = first_of_order((t.fact_orders if part is None else part).select(*keys, "order_id"), *keys).where("first").drop("first")
     returns = t.fact_returns.select("order_id", "return_id")
     if part is not None:
         met = orders.join(returns, "order_id", "left").distinct()
         least = F.min("return_id").over(Window.partitionBy("order_id", *keys))
         return _rate_of(met.select(*keys, "order_id", "return_id", F.col("return_id").eqNullSafe(least).alias("first")), keys)
-    least = F.min("return_id").over(Window.partitionBy("order_id"))
-    returns = returns.distinct().select("order_id", "return_id", F.col("return_id").eqNullSafe(least).alias("first"))
+    # The rows of an order sorted by return id: a row with its rank for a number is the first of its id.
+    by_id = Window.partitionBy("order_id").orderBy(F.col("return_id").asc_nulls_last())
+    returns = returns.select("*", F.row_number().over(by_id).alias("_row"), F.rank().over(by_id).alias("_rank"))
+    returns = returns.where(F.col("_row") == F.col("_rank")).select("order_id", "return_id", (F.col("_row") == 1).alias("first"))
     return _rate_of(orders.join(returns, "order_id", "left"), keys)
 
 

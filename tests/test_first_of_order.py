@@ -59,7 +59,7 @@ def _order_sorts(plan: str) -> int:
     return len(re.findall(r"Sort \[order_id#", plan))
 
 
-@pytest.mark.parametrize("name", ["daily_pnl", "daily_anomalies", "returns_analytics"])
+@pytest.mark.parametrize("name", ["daily_pnl", "daily_anomalies", "returns_analytics", "return_rate", "category_return_rate"])
 def test_order_rows_are_sorted_once_and_not_held_in_maps(spark, t, name):
     plan = _sorted_plan(spark, registry.apply(t, name))
     assert not _held_orders(plan)
@@ -86,6 +86,13 @@ def test_order_rows_per_key_with_repeats_and_nulls(odd):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_return_rate_with_repeats_and_nulls(odd):
+    met = odd.fact_orders.join(odd.fact_returns, "order_id", "left")
+    want = met.groupBy("category").agg(F.countDistinct("order_id").alias("o"), F.countDistinct("return_id").alias("r"))
+    got = marts.return_rate(odd, ("category",)).select("category", F.col("total_orders").alias("o"), F.col("returned_orders").alias("r"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_daily_sums_with_repeats_and_nulls(odd):
     got = {r["order_date"] and str(r["order_date"]): (r["orders"], r["revenue"]) for r in daily.daily_sums(odd).collect()}
     want = odd.fact_orders.groupBy("order_date").agg(F.countDistinct("order_id").alias("orders"), F.sum("gross_revenue").alias("revenue"))
