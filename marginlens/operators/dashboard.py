@@ -19,7 +19,7 @@ from ..functions.measures import (
     sum_cents,
 )
 from ..sources.tables import Tables
-from .common import returns_per_order
+from .common import count_first, first_of_order, returns_per_order
 
 # The display abbreviation of the reason labels and the sign labels.
 REASON_ABBREVIATION = ("not as expected", "≠ expected")
@@ -42,9 +42,9 @@ def kpi_summary(t: Tables) -> DataFrame:
             F.coalesce(sum_cents(cents("refund_amount") + cents("reverse_logistics_cost")), F.lit(0)).alias("cost"),
         ).alias("totals")
     ).scalar()
-    agg = t.fact_orders.agg(
+    agg = first_of_order(t.fact_orders).agg(
         money_sum("gross_revenue").alias("revenue"),
-        F.countDistinct("order_id").alias("orders"),
+        count_first().alias("orders"),
         (money_sum("commission") + money_sum("cogs") + money_sum("packaging_cost") + money_sum("logistics_cost")).alias("costs"),
     )
     returns = returns_totals.getField("n")

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF_SMALL, make_tables, order, ret
 from pyspark.sql import functions as F
 
-from marginlens.operators import daily, marts
+from marginlens.operators import daily, dashboard, marts
 from marginlens.operators.common import count_first, first_of_order, order_rows_per_key
 from marginlens.plans import registry
 from marginlens.sources.catalog import load_test_tables
@@ -72,6 +72,12 @@ def test_a_part_of_the_orders_is_sorted_not_held(spark, t):
     assert not _held_orders(_sorted_plan(spark, marts.daily_pnl_of(t, late)))
 
 
+def test_the_summary_holds_no_map_of_its_orders(spark, t):
+    plan = _sorted_plan(spark, dashboard.kpi_summary(t))
+    assert not re.findall(r"Aggregate\(keys=\[order_id", plan)
+    assert "Exchange hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("keys", [(), ("order_date",), tuple(marts.PNL_KEYS)])
 def test_first_rows_count_as_distinct_ids(odd, keys):
     got = first_of_order(odd.fact_orders, *keys).groupBy(*keys).agg(count_first().alias("n"))
